@@ -86,6 +86,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     e = scratch.stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     labels = None
+    if e.limit(1).count() == 0:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         hooks = e.select(F.col("b").alias("node"), F.col("a").alias("up")).union(e.select(F.col("a").alias("node"), F.col("a").alias("up")))
         up = scratch.stage(hooks.groupBy("node").agg(F.min("up").alias("up")))

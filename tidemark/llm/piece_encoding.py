@@ -23,6 +23,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import table
 
@@ -243,7 +244,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, with_ids: bool
     path = path or model_path()
     added = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded", "string", pa.string()), ("agreed", "boolean", pa.bool_())]
     if with_ids:
-        added.append(("ids", "array<int>", pa.list_(pa.int32())))
+        added.append(("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
     names = [c for c in docs.columns if c not in {a[0] for a in added}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, html_text, language_id, line_dedup, piece_encoding, toxicity, warc
+from tidemark.llm import chat_format, embedding_join, html_text, language_id, line_dedup, piece_encoding, shingle_join, toxicity, warc
 
 QUERIES = {
+    "op1_embedding_join": embedding_join.op1_embedding_join,
+    "op2_shingle_join": shingle_join.op2_shingle_join,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_warc": warc.op5_warc,
