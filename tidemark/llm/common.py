@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -47,6 +48,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _at_end(spark: SparkSession, path: str) -> None:
+    if not spark.sparkContext._jsc.sc().isStopped():
+        delete(spark, path)
+
+
 class Scratch:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
@@ -65,6 +71,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def later(self, df: DataFrame) -> DataFrame:
+        """df, which reads staged tables: they stay until the session's driver ends."""
+        atexit.register(_at_end, self.spark, self.path)
+        return df
+
     def finish(self, df: DataFrame) -> DataFrame:
         out = df.checkpoint()
         delete(self.spark, self.path)

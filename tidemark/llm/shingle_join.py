@@ -253,10 +253,12 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     docs = docs.where("doc_id IS NOT NULL")
     rows = scratch.stage(_profiles(docs, words, num, den))
     light = rows.select("doc_id", "n", "k1", "k2")
-    nodes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("tiles").alias("tiles"))
-    tiles = nodes.select("node", F.explode("tiles").alias("tile"))
-    by_tile = F.min("node").over(Window.partitionBy("tile")), F.max("node").over(Window.partitionBy("tile"))
-    members = tiles.withColumns({"lo": by_tile[0], "hi": by_tile[1]}).where("lo < hi").select("tile", "node", "lo")
+    own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
+    # a tile row is two longs: equal sets have one k1, which stands for them until tiles of one set are gone
+    tiles = rows.where("n > 0").select("k1", F.explode("tiles").alias("tile"))
+    shared = tiles.withColumns({"lo": F.min("k1").over(Window.partitionBy("tile")), "hi": F.max("k1").over(Window.partitionBy("tile"))}).where("lo < hi")
+    shared = scratch.stage(shared.select("tile", "k1").distinct())
+    members = shared.join(own.select("k1", "node"), "k1").select("tile", "node", F.min("node").over(Window.partitionBy("tile")).alias("lo"))
     members = scratch.stage(members)
     sketches = rows.select("doc_id", "n", "bits")
     first = members.where("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
@@ -272,7 +274,6 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
         if more.limit(1).count():
             labels = components(edges.union(more), scratch)
     # from sets to documents, and documents that share an id or a set to one component
-    own = light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     of_set = scratch.stage(own.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")))
     out = light.join(of_set, ["k1", "k2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return _united(scratch.stage(out), scratch)
