@@ -44,7 +44,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def _at_end(spark: SparkSession, path: str) -> None:
-    if not spark.sparkContext._jsc.sc().isStopped():
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         delete(spark, path)
 
 
