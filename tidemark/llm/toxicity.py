@@ -47,7 +47,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[Dat
     lab = lab.where(((F.col("toxic") == 1) & (h < share(1))) | ((F.col("toxic") == 0) & (h < share(0))))
     lab = lab.withColumn("part", F.when(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(CALIBRATE)) == 0, "calibrate").otherwise("count"))
     # about twice sample_docs rows are broadcast, at whatever input
-    return docs.join(F.broadcast(lab), "doc_id"), counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    return docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id"), counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
 
 class Model:
