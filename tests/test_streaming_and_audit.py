@@ -23,6 +23,26 @@ def test_queue(spark, tmp_path):
     assert done["empty"]["record"]["cold_start_flag"]
 
 
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from tidemark import __main__ as cli
+
+    (tmp_path / "a.json").write_text(json.dumps({"description": "x", "observations": CASES["zero_mad"]}))
+    (tmp_path / "b.json").write_text(json.dumps({"observations": []}))
+    monkeypatch.setattr("sys.argv", ["tidemark", "--input", f"{tmp_path}/*.json", "--now", str(NOW)])
+    cli.main()
+    a, b = (json.loads(x if x.endswith("}") else x + "}") for x in capsys.readouterr().out.strip().split("}\n"))
+    assert (a["P_ref"], a["MAD"], a["integrity_status"]) == (75.0, 0.0, "NORMAL")
+    assert (b["P_ref"], b["identity_scope_level"], b["integrity_status"], b["CS"]) == (None, None, "COLD_START", 0.0)
+
+
+def test_config():
+    from tidemark.sources import config
+
+    assert config.load({}) == config.Config()
+    got = config.load({"TIDEMARK_QUEUE": "q", "TIDEMARK_POLL_SECONDS": "x", "TIDEMARK_PROFILE": "HARDENED"})
+    assert (got.queue, got.poll_seconds, got.profile) == ("q", 5, "HARDENED")
+
+
 def test_hashes_and_differences(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     assert audit.file_hashes(spark, str(tmp_path / "a.txt")).first()["sha256"] == hashlib.sha256(b"x").hexdigest()

@@ -19,9 +19,11 @@ class Evaluation:
 
     observations: the columns of keys, idx (order of arrival, unique within a bucket), domain_id,
     merchant_id, price, currency, timestamp, region and pil, all of accepted rows.
+    buckets: rows with the keys of all buckets that get a record, if some may have no accepted row.
     """
 
-    def __init__(self, observations: DataFrame, keys: list[str], now: int, profile: Profile = BASE, scratch: Scratch | None = None):
+    def __init__(self, observations: DataFrame, keys: list[str], now: int, profile: Profile = BASE, scratch: Scratch | None = None, buckets: DataFrame | None = None):
+        self.buckets = buckets
         self.observations, self.keys, self.now, self.profile = observations, keys, now, profile
         self.scratch = scratch or Scratch(observations.sparkSession)
 
@@ -125,7 +127,7 @@ class Evaluation:
         are cold: they have no prices, and no effective sample unless it fell short at the gate.
         """
         k, p = self.keys, self.profile
-        out = self.observations.select(*k).distinct()
+        out = (self.observations if self.buckets is None else self.buckets).select(*k).distinct()
         burst = self.bursts.groupBy(*k).agg(F.bool_or(F.col("W_burst") < 1).alias("burst"))
         center = self.final_median.withColumnRenamed("median", "price")
         for part in (self.scopes.select(*k, "level"), burst, self._any_over(), self.cluster_loss, center, self.mad, self.effective):
@@ -151,7 +153,7 @@ class Evaluation:
         return out.select(*k, *[c.alias(n) for c, n in zip(columns, RESULT, strict=True)], display.alias("display_text"), round6(F.col("lost")).alias("cluster_loss"))
 
 
-def evaluate(observations: DataFrame, keys: list[str], now: int, profile: Profile = BASE) -> DataFrame:
+def evaluate(observations: DataFrame, keys: list[str], now: int, profile: Profile = BASE, buckets: DataFrame | None = None) -> DataFrame:
     """(keys, the columns of RESULT), cut off from the intermediate tables."""
-    e = Evaluation(observations, keys, now, profile)
+    e = Evaluation(observations, keys, now, profile, buckets=buckets)
     return e.scratch.finish(e.result.select(*keys, *RESULT))

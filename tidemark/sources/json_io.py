@@ -17,6 +17,11 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("batch", F.col("idx").cast("long").alias("idx"), "o.*")
 
 
+def batch_names(spark: SparkSession, path: str) -> DataFrame:
+    """(batch) of all batch files, those without observations too."""
+    return spark.read.schema(BATCH).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("batch")).distinct()
+
+
 def raw_observations(spark: SparkSession, observations: list[dict], batch: str = "batch") -> DataFrame:
     """Observations of a running program, their values as their JSON text would have them."""
     lines = [json.dumps({"batch": batch, "idx": i, "o": o}) for i, o in enumerate(observations)]

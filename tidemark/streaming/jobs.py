@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import boundary
 from tidemark.plans.evaluation import evaluate
-from tidemark.profiles import PROFILES, PROTOCOL_VERSION
+from tidemark.profiles import PROFILES
 from tidemark.schema import JOB, RESULT
 from tidemark.shared import Scratch
 
@@ -49,13 +49,12 @@ def process(jobs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = good.where((F.col("profile") == s["profile"]) & (F.col("now") == s["now"]))
         raw = own.select("job_id", F.posexplode_outer("observations").alias("idx", "o")).where("o IS NOT NULL").select("job_id", F.col("idx").cast("long").alias("idx"), "o.*")
         judged = boundary.judge(raw, rules, s["now"])
-        records = evaluate(boundary.accepted(judged), ["job_id"], s["now"], PROFILES[s["profile"]])
+        records = evaluate(boundary.accepted(judged), ["job_id"], s["now"], PROFILES[s["profile"]], own.select("job_id"))
         done = own.select("job_id", "created_at", "profile").join(boundary.summary(judged, "job_id"), "job_id", "left").join(records, "job_id", "left")
         out = done if out is None else out.unionByName(done)
     if out is None:
         out = _empty(jobs.sparkSession)
-    fill = {"protocol_version": PROTOCOL_VERSION, "constants_version": PROTOCOL_VERSION, "CS": 0.0, "N_eff": 0.0, "cold_start_flag": True, "insufficient_data_flag": True, "integrity_status": "COLD_START", "accepted_count": 0, "rejected_count": 0}
-    out = out.withColumn("applied_profile", F.coalesce("applied_profile", "profile")).fillna(fill)
+    out = out.fillna({"accepted_count": 0, "rejected_count": 0})
     result = F.struct(F.lit("completed").alias("status"), *RESULT[:3], "accepted_count", "rejected_count", "rejection_reasons_summary", F.struct(*RESULT).alias("record"))
     return out.select("job_id", "created_at", result.alias("result")), failed
 
@@ -65,6 +64,11 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], kinds)
 
 
+def pending(spark: SparkSession, base: str) -> DataFrame:
+    """(path, length, modificationTime) of the queue's job files, worked off or not; the stream's progress tells which are done."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{base}/pending").drop("content")
+
+
 def run(spark: SparkSession, base: str, rules: DataFrame, *, once: bool = True, seconds: int = 5, files: int = 1000) -> StreamingQuery:
     """Works off the queue under base; once: what is pending now, else every so many seconds."""
 
