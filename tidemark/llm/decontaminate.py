@@ -2,8 +2,7 @@
 
 Windows are sized by the items: an item of L words that matches a passage with similarity MIN_SIMILARITY or
 more shares with it a run of words without an edit, whose least length follows from L (see _ladder). For
-each class of items, every document is cut into windows of `size` words at every `step` = size / 2 words,
-and every item into windows of that size at every word, so that such a run holds a window of both.
+each class of items, every document is cut into windows of `size` words at every `step` words, and every item into windows of that size at every word, so that such a run holds a window of both.
 A window's SimHash has 120 bits: packed counters add 15 bits of its words' hashes at a time, and the
 majority of each bit is the fingerprint. Four blocks of 30 bits index the items' windows: two fingerprints
 that differ in RADIUS = 3 bits or fewer agree on a block, so the join on blocks finds all within the radius.
@@ -37,10 +36,11 @@ def _ladder(length: int) -> tuple[int, int]:
     """(window size, step) of the class of items with so many words.
 
     n = L - 4 shingles can lose n / 9 at most. An edit inside costs five, so up to 48 words there is
-    none, and the run has L - n / 9 words, 14 or more; beyond, the longest of the runs between edits
-    has 20 or more. A run of size + step - 1 words holds one of the document's windows.
+    none and the run has L - n / 9 words: 14 or more, 23 or more from 25 words on. Beyond, the
+    longest of the runs between edits has 24 or more. A run of size + step - 1 words holds one of
+    the document's windows.
     """
-    return (14, 7) if length >= 49 else (10, 5) if length >= 15 else (5, 1) if length >= 5 else (length, 1)
+    return (12, 12) if length >= 25 else (8, 7) if length >= 15 else (5, 1) if length >= 5 else (length, 1)
 
 
 def _windows(rows: DataFrame, sizes: list[tuple[int, int]], keep: list[str]) -> DataFrame:
@@ -72,26 +72,30 @@ def _windows(rows: DataFrame, sizes: list[tuple[int, int]], keep: list[str]) ->
     return sums.select(*keep, "size", "at", *[F.col(p).bitwiseOR(F.shiftrightunsigned(q, 1)).alias(f"b{k}") for k, (p, q) in enumerate(pairs)])
 
 
-def _blocks(windows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each window and block; windows of different sizes never meet."""
-    blocks = F.array(*[F.struct((F.col("size") * 4 + k).alias("block"), F.col(f"b{k}").alias("bits")) for k in range(4)])
-    return windows.select(*keep, "at", "b0", "b1", "b2", "b3", F.inline(blocks))
+def _blocks(windows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
+    """A row for each window and block. The key is one long: the block's bits, its number and the window's class in bits they leave free."""
+    own = F.lit(0).cast("long")
+    for i, size in enumerate(sizes):
+        own = F.when(F.col("size") == size, F.lit(i << 60)).otherwise(own)
+    blocks = F.array(*[F.col(f"b{k}").bitwiseOR(own).bitwiseOR(F.lit(k)).alias("key") for k in range(4)])
+    return windows.select(*keep, "at", "b0", "b1", "b2", "b3", F.explode(blocks).alias("key"))
 
 
 def _near(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, item_id, start): where items could lie in documents, by fingerprints within the radius."""
     lengths = [r["n"] for r in items.select(F.size("h").alias("n")).distinct().collect()]
     classes = sorted({_ladder(n) for n in lengths})  # seven at most
+    sizes = [size for size, _ in classes]
     index = None
     for c in classes:
         own = items.where(F.size("h").isin([n for n in lengths if _ladder(n) == c]))
-        found = _blocks(_windows(own, [(c[0], 1)], ["item_id"]), ["item_id"])
+        found = _blocks(_windows(own, [(c[0], 1)], ["item_id"]), ["item_id"], sizes)
         index = found if index is None else index.unionByName(found)
     if index is None:
         return scratch.spark.createDataFrame([], "doc_id long, item_id long, start int")
-    index = scratch.stage(index.toDF("item_id", "offset", "c0", "c1", "c2", "c3", "block", "bits").distinct())
-    probes = _blocks(_windows(docs.select("doc_id", "h"), classes, ["doc_id"]), ["doc_id"])
-    hits = probes.join(small(index, INDEX_ROWS), ["block", "bits"])
+    index = scratch.stage(index.toDF("item_id", "offset", "c0", "c1", "c2", "c3", "key").distinct())
+    probes = _blocks(_windows(docs.select("doc_id", "h"), classes, ["doc_id"]), ["doc_id"], sizes)
+    hits = probes.join(small(index, INDEX_ROWS), "key")
     differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(1, 4)), F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))))
     return hits.where(differ <= RADIUS).select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start")).distinct()
 
