@@ -10,7 +10,6 @@ writes a manifest of files, sizes and digests, and readers open only what the ma
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import re
 import uuid
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, shared_dir, table
@@ -48,21 +47,21 @@ def decide(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     return big.join(first, ["digest", "size"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def _bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """Exclusive upper page_ids of all shards but the last, from RANGE_BUCKETS sums of sizes."""
+def _shards(sizes: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """(the shard of a row, how many there are): ranges of page_id of about shard_bytes each, from RANGE_BUCKETS sums of sizes."""
     lo, hi = sizes.agg(F.min("page_id"), F.max("page_id")).first()
     if lo is None:
-        return []
+        return F.lit(0), 1
     width = max(1, -(-(hi - lo + 1) // RANGE_BUCKETS))
-    bucket = F.floor((F.col("page_id") - lo) / width).cast("long").alias("k")
-    sums = sizes.where("page_id IS NOT NULL").groupBy(bucket).agg(F.sum(F.col("size") + 300).alias("s")).orderBy("k").collect()
-    out, held = [], 0
-    for r in sums:
-        if held and held + r["s"] > shard_bytes:
-            out.append(lo + r["k"] * width)
-            held = 0
-        held += r["s"]
-    return out
+    bucket = F.floor((F.col("page_id") - lo) / width).cast("int")
+    sums = dict(sizes.where("page_id IS NOT NULL").groupBy(bucket.alias("k")).agg(F.sum(F.col("size") + 300).alias("s")).collect())
+    shards, shard, held = [], 0, 0
+    for k in range((hi - lo) // width + 1):
+        if held and held + sums.get(k, 0) > shard_bytes:
+            shard, held = shard + 1, 0
+        held += sums.get(k, 0)
+        shards.append(shard)
+    return F.coalesce(F.get(F.lit(shards), bucket), F.lit(0)), shard + 1
 
 
 def _header(value: str | None) -> str:
@@ -138,14 +137,15 @@ def write_archives(pages: DataFrame, uri: str, *, min_revisit_bytes: int = MIN_R
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     scratch = Scratch(spark)
     light = scratch.stage(pages.select("page_id", "digest", F.octet_length("payload").alias("size")))
-    cuts = _bounds(light, shard_bytes)
+    shard_of, shards = _shards(light, shard_bytes)
     revisits = decide(light, min_revisit_bytes)
     # decisions travel with the pages through one shuffle and stand right before theirs
     none = F.lit(None)
     rows = pages.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", none.cast("long").alias("refers_to")).unionByName(
         revisits.select("page_id", "digest", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "refers_to")
     )
-    rows = rows.repartitionByRange(len(cuts) + 1, "page_id").sortWithinPartitions("page_id", "digest", "kind", "url")
+    # all rows of a shard meet in one task; a task may get more than one, in order
+    rows = rows.withColumn("shard", shard_of).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(uri)
@@ -153,14 +153,14 @@ def write_archives(pages: DataFrame, uri: str, *, min_revisit_bytes: int = MIN_R
         files: list[tuple] = []
         last, ref, n = None, None, 0
         for b in batches:
-            for page_id, digest, kind, url, body, to in zip(*(b.column(i) for i in range(6)), strict=True):
+            for page_id, digest, kind, url, body, to, at in zip(*(b.column(i) for i in range(7)), strict=True):
                 key = (page_id.as_py(), digest.as_py())
                 if key != last:
                     last, ref, n = key, None, 0
                 if not kind.as_py():
                     ref = to.as_py()
                     continue
-                shard = 0 if key[0] is None else bisect.bisect_right(cuts, key[0])
+                shard = at.as_py()
                 if shard not in open_:
                     for s in open_.values():  # rows are sorted: an earlier shard is over
                         s.close()
