@@ -73,9 +73,12 @@ class Scratch:
 
     def finish(self, df: DataFrame) -> DataFrame:
         out = df.checkpoint()
-        delete(self.spark, self.path)
+        self.drop()
         return out
 
+    def drop(self) -> None:
+        delete(self.spark, self.path)
+
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast only if it was counted to hold at most so many rows; else joins shuffle."""

@@ -77,7 +77,7 @@ def run(spark: SparkSession, base: str, rules: DataFrame, *, once: bool = True,
         completed, failed = process(scratch.stage(jobs), rules)
         completed.write.mode("overwrite").json(f"{base}/completed/batch={batch_id}")
         failed.write.mode("overwrite").json(f"{base}/failed/batch={batch_id}")
-        scratch.finish(spark.range(0).toDF("none"))
+        scratch.drop()
 
     source = spark.readStream.schema(JOB).option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files).json(f"{base}/pending")
     writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
