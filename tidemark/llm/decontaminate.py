@@ -22,6 +22,8 @@ SHINGLE, RADIUS, NUM, DEN = 5, 3, 80, 100
 _LANES = 0x0111111111111111
 #: Windows of the items' index that may be broadcast, after they were counted (five longs each).
 INDEX_ROWS = 400_000
+#: Words of all items up to which their shingles may be broadcast, after they were counted (a long each).
+ITEM_WORDS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -113,7 +115,8 @@ def _similar(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     ids = near.select("doc_id").distinct()
     texts = docs.join(small(ids), "doc_id")
     own = items.select("item_id", F.size("h").alias("words"), _shingles(F.col("h")).alias("item"))
-    rows = texts.join(near, "doc_id").join(small(own, 20_000), "item_id")
+    words = items.agg(F.sum(F.size("h"))).first()[0] or 0
+    rows = texts.join(near, "doc_id").join(F.broadcast(own) if words <= ITEM_WORDS else own, "item_id")
     slack = F.greatest(F.lit(0), F.floor((F.col("words") - SHINGLE + 1) * (DEN - NUM) / (DEN + NUM)).cast("int"))
     rows = rows.withColumn("from", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)))
     rows = rows.where((F.col("from") >= 0) & (F.col("from") + F.col("words") <= F.size("h"))).select("doc_id", "item_id", "words", "item", "from", F.slice("h", F.col("from") + 1, F.col("words")).alias("w")).dropDuplicates(["doc_id", "item_id", "from", "w"])

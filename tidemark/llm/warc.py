@@ -181,7 +181,7 @@ def write_archives(pages: DataFrame, uri: str, *, min_revisit_bytes: int = MIN_R
     manifest.write.parquet(f"{uri}/manifest-uncommitted")
     store.delete_dir(f"{folder}/tmp")  # what attempts that failed have left
     store.move(f"{folder}/manifest-uncommitted", f"{folder}/manifest")  # the commit
-    scratch.finish(spark.range(0).toDF("none"))
+    scratch.drop()
     return spark.read.schema(_MANIFEST).parquet(f"{uri}/manifest")
 
 
