@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, components, small, table
 
-BITS, BAND_RATIO, BLOCK = 2048, 1.5, 512
+#: A bitmap has so many bits for each shingle, rounded up to a power of two; fuller ones bound too little.
+BITS_EACH, LEAST_BITS = 8, 512
+BAND_RATIO, BLOCK = 1.5, 512
 _CACHE = 400_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -110,11 +112,19 @@ def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(h & np.uint64(BITS - 1)).astype(np.int64)] = True
+    """Low bits of hashes set a bit each. Halving a bitmap by or-ing its halves gives the bitmap of half the width."""
+    width = max(LEAST_BITS, 1 << (BITS_EACH * len(h) - 1).bit_length()) if len(h) else LEAST_BITS
+    bits = np.zeros(width, bool)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).view(np.int64)
 
 
+def halved(bits: np.ndarray, to: int) -> np.ndarray:
+    while len(bits) > to:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, k1, k2, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set."""
 
@@ -148,10 +158,19 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataF
     a = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     b = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
 
+    def half(x: Column) -> Column:
+        n = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseOR(q))
+
+    def alike(x: str, y: str) -> Column:
+        """Sizes of linked sets differ too little for widths more than one halving apart; others are dropped by size before."""
+        return F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
+
     def lacking(x: str, y: str) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
 
-    both = a.join(small(pairs), "a").join(b, "b")
+    both = a.join(small(pairs), "a").join(b, "b").where(_enough(F.least("na", "nb"), F.col("na"), F.col("nb"), num, den))
+    both = both.select("a", "b", "na", "nb", alike("bits_a", "bits_b").alias("bits_a"), alike("bits_b", "bits_a").alias("bits_b"))
     bound = F.least(F.col("na") - lacking("bits_a", "bits_b"), F.col("nb") - lacking("bits_b", "bits_a"))
     return both.where(_enough(bound, F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
@@ -199,9 +218,11 @@ def _across(members: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     rows = s.join(rows, "node").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j, own, node, label, n, bits = (np.array(c) for c in zip(*group, strict=True))
+        *ints, raw = zip(*group, strict=True)
+        _, i, j, own, node, label, n = (np.array(c) for c in ints)
+        least = min(map(len, raw))  # sizes in a tile differ by two bands at most
+        bits = np.array([halved(x, least) for x in raw]).view(np.uint64)
         n = n.astype(np.int64)
-        bits = bits.view(np.uint64)
         out = []
         left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
         for x in left:
