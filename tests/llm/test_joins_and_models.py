@@ -212,6 +212,23 @@ def test_toxicity(spark):
     assert toxicity.predict(df.limit(0), model).count() == 0
 
 
+def test_toxicity_rare_words(spark):
+    rnd = random.Random(7)
+    plain, rare = [f"w{i}" for i in range(300)], [f"rare{i}" for i in range(150)]
+    docs, labels = [], []
+    for i in range(1200):
+        w = rnd.choices(plain, k=60)
+        for x in [rare[i // 5 % 150], rare[(i // 5 + 1) % 150], rare[(i // 5 + 2) % 150]] if i % 5 == 0 else []:
+            w[rnd.randrange(60)] = x
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    df = spark.createDataFrame(docs, DOCS)
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id < 750"))
+    got = {r["doc_id"]: r["toxic_score"] >= 0.5 for r in toxicity.predict(df, model).collect()}
+    toxic, clean = ([got[i] for i, t in labels if i >= 750 and t == c] for c in (1, 0))
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 # --- pipeline -------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ Two models, one a class, are counted on a bounded sample of labelled documents:
 their distinct left contexts, so that copies and shared passages count once. Their lowest order is shared: P(w) follows from how many different left contexts w has in the whole corpus.
 A word's evidence is the difference of its two log-likelihoods; words that neither class has seen
 back off to the same shared probability and cancel. A document is judged by the mean evidence of its
-words and by that of its strongest ones, calibrated on labelled documents that were not counted.
+words and by that of its strongest ones (by words alone, shrunk where few contexts support it: one place of a
+rare word must not outweigh many), calibrated on labelled documents that were not counted.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from tidemark.llm.common import table
 
 #: Bounds of the labelled sample: documents a class that are expected; one in CALIBRATE calibrates, the others are counted.
 SAMPLE_DOCS, CALIBRATE = 4000, 4
-#: A word counts from so many sample documents on, a bigram from so many distinct left contexts; at most MAX_VOCABULARY words, the most frequent.
-MIN_WORD_DOCS, MIN_BIGRAM, MAX_VOCABULARY = 6, 8, 200_000
 DISCOUNT, CLIP = 0.75, 8.0
+#: A word's evidence counts among the strongest by n / (n + RELIABLE), where n are its distinct left contexts in both classes.
+RELIABLE = 8.0
 #: Left contexts are told apart by a hash into so many classes; distinct contexts follow by linear counting.
 CONTEXTS = 64
 
@@ -50,22 +51,34 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[Dat
     return docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id"), counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
 
+class _Ids(dict):
+    """Numbers of words in the order of their first place."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, w: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+
+
 class Model:
     """What scoring needs: word ids, evidence by word and by bigram, the change a context makes, and the calibration."""
 
-    def __init__(self, vocabulary, unigram, context, keys, bigram):
+    def __init__(self, vocabulary, unigram, context, keys, bigram, reliable):
         self.ids = {w: i for i, w in enumerate(vocabulary)}
         self.unigram, self.context, self.keys, self.bigram = unigram, context, keys, bigram
+        self.strong = np.clip(unigram, -CLIP, CLIP) * reliable
         self.weights = np.zeros(4)
 
     def evidence(self, text: str | None) -> np.ndarray:
         """log P_toxic(w | v) - log P_ordinary(w | v) of each word."""
         get = self.ids.get
-        w = self._words = words(text)
+        w = words(text)
         if not w:
             return np.zeros(0)
         n, size = len(w), len(self.unigram) - 1
-        ids = np.fromiter((get(x, size) for x in w), np.int64, n)
+        ids = self._at = np.fromiter((get(x, size) for x in w), np.int64, n)
         out = self.unigram[ids]
         out[1:] += np.where(ids[1:] < size, self.context[ids[:-1]], 0)
         if n > 1 and len(self.keys):
@@ -75,18 +88,12 @@ class Model:
         return np.clip(out, -CLIP, CLIP)
 
     def features(self, text: str | None) -> np.ndarray:
-        """1, the mean evidence of all words, the second strongest distinct word's, and the mean of the three strongest."""
+        """1, the mean evidence of all words, the second strongest distinct word's without its context, and the mean of the three strongest."""
         e = self.evidence(text)
         if not len(e):
             return np.array([1.0, 0.0, 0.0, 0.0])
-        best: dict[bytes, float] = {}
-        for i in np.argsort(-e, kind="stable"):
-            if len(best) < 3:
-                best.setdefault(self._words[i], e[i])
-            else:
-                break
-        top = [*best.values(), 0.0, 0.0, 0.0][:3]
-        return np.array([1.0, e.mean(), top[1], sum(top) / 3])
+        top = np.append(np.sort(self.strong[np.unique(self._at)])[:-4:-1], np.zeros(3))[:3]
+        return np.array([1.0, e.mean(), top[1], top.mean()])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -50, 50))))
@@ -129,9 +136,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
     """
     sample, share = _labelled(docs, labels, sample_docs)
     sample = sample.select("text", "toxic", "part")
-    counted: list[tuple[int, list[bytes]]] = []
+    counted: list[tuple[int, np.ndarray]] = []
     calibrate: list[tuple[int, str]] = []
-    doc_words: dict[bytes, int] = {}
+    ids = _Ids()
     seen: set[int] = set()
     for r in sample.toLocalIterator():
         text = r["text"] or ""
@@ -141,15 +148,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
         seen.add(h)
         if r["part"] == "calibrate":
             calibrate.append((r["toxic"], text))
-            continue
-        w = words(text)
-        counted.append((r["toxic"], w))
-        for x in set(w):
-            doc_words[x] = doc_words.get(x, 0) + 1
-    vocabulary = sorted((w for w, n in doc_words.items() if n >= MIN_WORD_DOCS), key=lambda w: (-doc_words[w], w))[:MAX_VOCABULARY]
+        else:
+            counted.append((r["toxic"], ids.of(words(text)).astype(np.int32)))
+    vocabulary = list(ids)
     n_classes = len({t for t, _ in counted} & {0, 1}), len({t for t, _ in calibrate} & {0, 1})
     if min(n_classes) < 2:
-        model = Model([], np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0))
+        model = Model([], np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(1))
         model.weights = np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0])
         return model
     _, contexts = _corpus_counts(docs, vocabulary)
@@ -158,32 +162,28 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
     return model
 
 
-def _estimate(vocabulary: list[bytes], counted: list[tuple[int, list[bytes]]], contexts: np.ndarray) -> Model:
+def _estimate(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]], contexts: np.ndarray) -> Model:
+    """Every word and bigram of the counted documents (class, word ids) has its place; the discount and the shared backoff smooth rare ones."""
     size = len(vocabulary)
-    ids = {w: i for i, w in enumerate(vocabulary)}
     shared = (contexts[:size] + 0.5) / (contexts.sum() + 0.5 * (size + 1))
-    lower, gamma, pair, joint = [], [], [], []
+    lower, gamma, pair, joint, reliable = [], [], [], [], np.zeros(size + 1)
     for c in (0, 1):
-        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for t, w in counted:
-            if t == c and len(w) > 1:
-                x = np.fromiter((ids.get(y, size) for y in w), np.int64, len(w))
-                before = np.fromiter(map(zlib.crc32, w), np.int64, len(w)) & 0xFFFF
-                one.append(x[1:] << 16 | before[:-1])
-                two.append((x[1:-1] * (size + 1) + x[2:]) << 16 | before[:-2])
-        left = np.bincount(np.unique(np.concatenate(one)) >> 16, minlength=size + 1)  # distinct left contexts in this class
-        keys, n = np.unique(np.unique(np.concatenate(two)) >> 16, return_counts=True)  # and of bigrams: copies add nothing
-        v, w = keys // (size + 1), keys % (size + 1)
+        texts = [x.astype(np.int64) for t, x in counted if t == c and len(x) > 1]
+        one = np.unique(np.concatenate([x[1:] * (size + 1) + x[:-1] for x in texts] or [np.zeros(0, np.int64)]))
+        left = np.bincount(one // (size + 1), minlength=size + 1)  # distinct left contexts in this class
+        keys, at = np.unique(np.concatenate([x[1:-1] * (size + 1) + x[2:] for x in texts] or [np.zeros(0, np.int64)]), return_inverse=True)
+        before = np.concatenate([x[:-2] for x in texts] or [np.zeros(0, np.int64)])
+        n = np.bincount(np.unique(at * (size + 1) + before) // (size + 1), minlength=len(keys))  # and of bigrams: copies add nothing
+        v = keys // (size + 1)
         lam = DISCOUNT * max(1, (left > 0).sum()) / max(1, left.sum())
         p = np.maximum(left[:size] - DISCOUNT, 0) / max(1, left.sum()) + lam * shared
         places, kinds = np.bincount(v, weights=n, minlength=size + 1), np.bincount(v, minlength=size + 1)
         g = np.where(places > 0, DISCOUNT * kinds / np.maximum(places, 1), 1.0)
-        g[size] = 1.0  # a word outside the vocabulary is no context
         lower.append(p)
         gamma.append(g)
-        some = (n >= MIN_BIGRAM) & (v < size) & (w < size)
-        pair.append(keys[some])
-        joint.append((n[some] - DISCOUNT) / places[v[some]])
+        pair.append(keys)
+        joint.append((n - DISCOUNT) / places[v])
+        reliable += left
     keys = np.union1d(*pair)
     v, w = keys // (size + 1), keys % (size + 1)
     log_p = []
@@ -192,7 +192,7 @@ def _estimate(vocabulary: list[bytes], counted: list[tuple[int, list[bytes]]], c
         high[np.searchsorted(keys, pair[c])] = joint[c]
         log_p.append(np.log(high + gamma[c][v] * lower[c][w]))
     unigram = np.append(np.log(lower[1]) - np.log(lower[0]), 0.0)
-    return Model(vocabulary, unigram, np.log(gamma[1]) - np.log(gamma[0]), keys, log_p[1] - log_p[0])
+    return Model(vocabulary, unigram, np.log(gamma[1]) - np.log(gamma[0]), keys, log_p[1] - log_p[0], reliable / (reliable + RELIABLE))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
