@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tidemark.llm import decontaminate, embedding_join, shingle_join, toxicity
@@ -229,6 +230,27 @@ def test_toxicity_rare_words(spark):
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_corpus_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PLACES", 2000)
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["the", f"w{rnd.randrange(3000)}", f"w{rnd.randrange(20)}"]) for _ in range(rnd.randint(0, 60))) for _ in range(900)] + [None, "", "lonely"]
+    pairs, places = set(), {}
+    for t in texts:
+        w = toxicity.words(t)
+        pairs |= set(zip(w, w[1:]))
+        for x in w:
+            places[x] = places.get(x, 0) + 1
+    contexts = {x: 0 for x in places}
+    for _, x in pairs:
+        contexts[x] += 1
+    assert contexts[b"the"] > 311
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS).repartition(5)
+    h = lambda x: np.array([xxhash.xxh3_64_intdigest(x)], np.uint64)
+    for frequent in (None, np.sort(np.concatenate([h(b"the"), h(b"w3")]))):
+        got = {r["word"]: (r["n"], r["contexts"]) for r in toxicity.corpus_counts(df, frequent).collect()}
+        assert got == {int(h(x).view(np.int64)[0]): (places[x], contexts[x]) for x in places}
+
+
 # --- pipeline -------------------------------------------------------------------------------------------
 
 

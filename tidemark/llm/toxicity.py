@@ -11,7 +11,6 @@ rare word must not outweigh many), calibrated on labelled documents that were no
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,8 @@ SAMPLE_DOCS, CALIBRATE = 4000, 4
 DISCOUNT, CLIP = 0.75, 8.0
 #: A word's evidence counts among the strongest by n / (n + RELIABLE), where n are its distinct left contexts in both classes.
 RELIABLE = 8.0
-#: Left contexts are told apart by a hash into so many classes; distinct contexts follow by linear counting.
-CONTEXTS = 64
+#: Words with more than one place of FREQUENT are dealt in PARTS; a task sends its counts after so many PLACES.
+FREQUENT, PARTS, PLACES = 2000, 32, 1 << 22
 
 _keep = b"abcdefghijklmnopqrstuvwxyz0123456789'"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _keep else 32 for c in range(256))
@@ -99,34 +98,98 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -50, 50))))
 
 
-def _corpus_counts(docs: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Over all documents: places and distinct left contexts of each word of the vocabulary."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def corpus_counts(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
+    """docs (text) -> a row (word, n, contexts) for every word of all documents: its xxh3, its places and its distinct left words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(held.value)}
-        size, get = len(ids), ids.get
-        n, seen = np.zeros(size + 1, np.int64), np.zeros((size + 1) * CONTEXTS, bool)
+    Tasks send each word's distinct left words as packed hashes (32 bits, told apart a word); what is equal between tasks
+    counts once, exactly but for collisions. frequent (hashes, sorted) are dealt in PARTS by left word, so that no task holds all of one.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if frequent is None else frequent)
+
+    def packed(ids: _Ids, keys: np.ndarray) -> pa.RecordBatch:
+        keys, n = np.unique(keys, return_counts=True)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
+        w, left = keys >> 32, keys & 0xFFFFFFFF  # left is 0 where a text begins
+        lh = np.append(np.uint64(0), h)[left]
+        part = np.where(np.isin(h, held.value)[w], lh % np.uint64(PARTS), np.uint64(0)).astype(np.int64)
+        order = np.argsort(w * PARTS + part, kind="stable")
+        w, part, left, lh, n = w[order], part[order], left[order], lh[order], n[order]
+        start = np.flatnonzero(np.append(True, np.diff(w * PARTS + part) != 0))
+        size = np.add.reduceat((left > 0).astype(np.int64), start)
+        data = (lh[left > 0] >> np.uint64(32)).astype(np.uint32)
+        ends = np.append(0, np.cumsum(size * 4)).astype(np.int32)
+        lefts = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(h[w[start]].view(np.int64)), pa.array(part[start].astype(np.int32)), pa.array(np.add.reduceat(n, start)), lefts], names=["word", "part", "n", "lefts"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, places = _Ids(), [], 0
         for b in batches:
             for t in b.column(0):
                 w = words(t.as_py())
                 if w:
-                    x = np.fromiter((get(y, size) for y in w), np.int64, len(w))
-                    left = np.fromiter(map(zlib.crc32, w), np.int64, len(w)) % CONTEXTS
-                    np.add.at(n, x, 1)
-                    seen[x[1:] * CONTEXTS + left[:-1]] = True
-        some = np.flatnonzero(n)
-        bits = np.packbits(seen.reshape(-1, CONTEXTS)[some], axis=1, bitorder="little").view(np.int64).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(bits)], names=["word", "n", "contexts"])
-
-    rows = docs.select("text").mapInArrow(run, "word int, n long, contexts long")
-    rows = rows.groupBy("word").agg(F.sum("n").alias("n"), F.bit_count(F.expr("bit_or(contexts)")).alias("contexts"))
-    n, contexts = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
-    for r in rows.toLocalIterator():
-        n[r["word"]], contexts[r["word"]] = r["n"], r["contexts"]
-    # linear counting; a full table stands for as many contexts as it can tell, and no word has more contexts than places
-    distinct = -CONTEXTS * np.log(np.maximum(CONTEXTS - contexts, 0.5) / CONTEXTS)
-    return n, np.minimum(distinct, n)
+                    x = ids.of(w)
+                    keys.append(x << 32 | np.append(0, x[:-1] + 1))
+                    places += len(w)
+                    if places >= PLACES:
+                        yield packed(ids, np.concatenate(keys))
+                        ids, keys, places = _Ids(), [], 0
+        if places:
+            yield packed(ids, np.concatenate(keys))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of word and part; the last word of a batch waits for the next one."""
+        last = None
+        for b in batches:
+            word, part, n = (b.column(i).to_numpy() for i in range(3))
+            ends = np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset :][: len(word) + 1]
+            raw = b.column(3).buffers()[2]
+            lefts = np.frombuffer(raw, np.uint32, (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.uint32)
+            new = np.append(True, (np.diff(word) != 0) | (np.diff(part) != 0))
+            group = np.cumsum(new) - 1
+            start = np.flatnonzero(new)
+            pairs = np.unique(np.repeat(group, np.diff(ends) // 4) << 32 | lefts)
+            word, part, n = word[start], part[start], np.add.reduceat(n, start)
+            if last and last[:2] == (word[0], part[0]):
+                first = np.union1d(last[3], pairs[pairs >> 32 == 0])
+                n[0] += last[2]
+                pairs = np.concatenate([first, pairs[pairs >> 32 > 0]])
+            elif last:
+                yield done([last[0]], [last[2]], [len(last[3])])
+            sizes = np.bincount(pairs >> 32, minlength=len(word))
+            last = word[-1], part[-1], n[-1], pairs[len(pairs) - sizes[-1] :] & 0xFFFFFFFF
+            yield done(word[:-1], n[:-1], sizes[:-1])
+        if last:
+            yield done([last[0]], [last[2]], [len(last[3])])
+
+    def done(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["word", "n", "contexts"])
+
+    rows = docs.select("text").mapInArrow(deal, "word long, part int, n long, lefts binary")
+    rows = rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(merged, "word long, n long, contexts long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
+
+
+def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) -> np.ndarray:
+    """Distinct left contexts in all documents of each word of the vocabulary, and at the end those of all other words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary)).view(np.int64)
+    order = np.argsort(h)
+    held = docs.sparkSession.sparkContext.broadcast((h[order], order))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, number = held.value
+        others = 0
+        for b in batches:
+            word, contexts = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+            hit = known[at] == word
+            others += contexts[~hit].sum()
+            yield pa.RecordBatch.from_arrays([pa.array(number[at[hit]]), pa.array(contexts[hit])], names=["id", "contexts"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(known)], pa.int64()), pa.array([others], pa.int64())], names=["id", "contexts"])
+
+    out = np.zeros(len(vocabulary) + 1)
+    for t in corpus_counts(docs, frequent).select("word", "contexts").mapInArrow(pick, "id long, contexts long").toArrow().to_batches():
+        np.add.at(out, t.column(0).to_numpy(), t.column(1).to_numpy())
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -156,12 +219,18 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
         model = Model([], np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(1))
         model.weights = np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0])
         return model
-    _, contexts = _corpus_counts(docs, vocabulary)
+    contexts = _contexts(docs, vocabulary, _frequent(vocabulary, counted))
     model = _estimate(vocabulary, counted, contexts)
     model.weights = _calibrate(np.array([model.features(t) for _, t in calibrate]), np.array([c for c, _ in calibrate], float), share)
     return model
 
 
+def _frequent(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Hashes of the words that hold one place of FREQUENT in the counted documents."""
+    n = np.bincount(np.concatenate([x for _, x in counted]), minlength=len(vocabulary))
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(vocabulary[i]) for i in np.flatnonzero(n * FREQUENT > n.sum())], np.uint64))
+
+
 def _estimate(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]], contexts: np.ndarray) -> Model:
     """Every word and bigram of the counted documents (class, word ids) has its place; the discount and the shared backoff smooth rare ones."""
     size = len(vocabulary)
