@@ -249,6 +249,11 @@ def test_toxicity_corpus_counts(spark, monkeypatch):
     for frequent in (None, np.sort(np.concatenate([h(b"the"), h(b"w3")]))):
         got = {r["word"]: (r["n"], r["contexts"]) for r in toxicity.corpus_counts(df, frequent).collect()}
         assert got == {int(h(x).view(np.int64)[0]): (places[x], contexts[x]) for x in places}
+    # the shared distribution spans words outside the sample, too
+    sampled = [b"the", b"w3", b"lonely", b"nowhere"]
+    known, total = toxicity._contexts(df, sampled, np.zeros(0, np.uint64))
+    assert known.tolist() == [contexts.get(x, 0) for x in sampled]
+    assert total == sum(contexts.values()) + 0.5 * len({*places, *sampled})
 
 
 # --- pipeline -------------------------------------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, one a class, are counted on a bounded sample of labelled documents: bigrams and words by
-their distinct left contexts, so that copies and shared passages count once. Their lowest order is shared: P(w) follows from how many different left contexts w has in the whole corpus.
+their distinct left contexts, so that copies and shared passages count once. Their lowest order is shared: P(w) follows from how many different left
+contexts w has in the whole corpus, counted exactly for every word of it.
 A word's evidence is the difference of its two log-likelihoods; words that neither class has seen
-back off to the same shared probability and cancel. A document is judged by the mean evidence of its
+back off to the same shared probability, of which the classes' backoff weights alone remain. A document is judged by the mean evidence of its
 words and by that of its strongest ones (by words alone, shrunk where few contexts support it: one place of a
 rare word must not outweigh many), calibrated on labelled documents that were not counted.
 """
@@ -79,7 +80,7 @@ class Model:
         n, size = len(w), len(self.unigram) - 1
         ids = self._at = np.fromiter((get(x, size) for x in w), np.int64, n)
         out = self.unigram[ids]
-        out[1:] += np.where(ids[1:] < size, self.context[ids[:-1]], 0)
+        out[1:] += self.context[ids[:-1]]
         if n > 1 and len(self.keys):
             key = ids[:-1] * (size + 1) + ids[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -169,27 +170,27 @@ def corpus_counts(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFr
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
 
 
-def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) -> np.ndarray:
-    """Distinct left contexts in all documents of each word of the vocabulary, and at the end those of all other words."""
+def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) -> tuple[np.ndarray, float]:
+    """Distinct left contexts in all documents of each word of the vocabulary, and the sum of contexts + 0.5 over all words there are."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary)).view(np.int64)
     order = np.argsort(h)
     held = docs.sparkSession.sparkContext.broadcast((h[order], order))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = held.value
-        others = 0
+        others = 0.0
         for b in batches:
             word, contexts = b.column(0).to_numpy(), b.column(1).to_numpy()
             at = np.minimum(np.searchsorted(known, word), len(known) - 1)
             hit = known[at] == word
-            others += contexts[~hit].sum()
-            yield pa.RecordBatch.from_arrays([pa.array(number[at[hit]]), pa.array(contexts[hit])], names=["id", "contexts"])
-        yield pa.RecordBatch.from_arrays([pa.array([len(known)], pa.int64()), pa.array([others], pa.int64())], names=["id", "contexts"])
+            others += (contexts[~hit] + 0.5).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(number[at[hit]]), pa.array(contexts[hit], pa.float64())], names=["id", "contexts"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(known)], pa.int64()), pa.array([others], pa.float64())], names=["id", "contexts"])
 
     out = np.zeros(len(vocabulary) + 1)
-    for t in corpus_counts(docs, frequent).select("word", "contexts").mapInArrow(pick, "id long, contexts long").toArrow().to_batches():
+    for t in corpus_counts(docs, frequent).select("word", "contexts").mapInArrow(pick, "id long, contexts double").toArrow().to_batches():
         np.add.at(out, t.column(0).to_numpy(), t.column(1).to_numpy())
-    return out
+    return out[:-1], out.sum() + 0.5 * len(vocabulary)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -219,8 +220,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
         model = Model([], np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(1))
         model.weights = np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0])
         return model
-    contexts = _contexts(docs, vocabulary, _frequent(vocabulary, counted))
-    model = _estimate(vocabulary, counted, contexts)
+    contexts, total = _contexts(docs, vocabulary, _frequent(vocabulary, counted))
+    model = _estimate(vocabulary, counted, contexts, total)
     model.weights = _calibrate(np.array([model.features(t) for _, t in calibrate]), np.array([c for c, _ in calibrate], float), share)
     return model
 
@@ -231,11 +232,11 @@ def _frequent(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]]) ->
     return np.sort(np.array([xxhash.xxh3_64_intdigest(vocabulary[i]) for i in np.flatnonzero(n * FREQUENT > n.sum())], np.uint64))
 
 
-def _estimate(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]], contexts: np.ndarray) -> Model:
+def _estimate(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]], contexts: np.ndarray, total: float) -> Model:
     """Every word and bigram of the counted documents (class, word ids) has its place; the discount and the shared backoff smooth rare ones."""
     size = len(vocabulary)
-    shared = (contexts[:size] + 0.5) / (contexts.sum() + 0.5 * (size + 1))
-    lower, gamma, pair, joint, reliable = [], [], [], [], np.zeros(size + 1)
+    shared = (contexts + 0.5) / total
+    lower, gamma, pair, joint, backoff, reliable = [], [], [], [], [], np.zeros(size + 1)
     for c in (0, 1):
         texts = [x.astype(np.int64) for t, x in counted if t == c and len(x) > 1]
         one = np.unique(np.concatenate([x[1:] * (size + 1) + x[:-1] for x in texts] or [np.zeros(0, np.int64)]))
@@ -249,6 +250,7 @@ def _estimate(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]], co
         places, kinds = np.bincount(v, weights=n, minlength=size + 1), np.bincount(v, minlength=size + 1)
         g = np.where(places > 0, DISCOUNT * kinds / np.maximum(places, 1), 1.0)
         lower.append(p)
+        backoff.append(lam)
         gamma.append(g)
         pair.append(keys)
         joint.append((n - DISCOUNT) / places[v])
@@ -260,7 +262,8 @@ def _estimate(vocabulary: list[bytes], counted: list[tuple[int, np.ndarray]], co
         high = np.zeros(len(keys))
         high[np.searchsorted(keys, pair[c])] = joint[c]
         log_p.append(np.log(high + gamma[c][v] * lower[c][w]))
-    unigram = np.append(np.log(lower[1]) - np.log(lower[0]), 0.0)
+    # a word outside the sample has lam * P(w) in either class, so that P(w) cancels whatever it is
+    unigram = np.append(np.log(lower[1]) - np.log(lower[0]), math.log(backoff[1] / backoff[0]))
     return Model(vocabulary, unigram, np.log(gamma[1]) - np.log(gamma[0]), keys, log_p[1] - log_p[0], reliable / (reliable + RELIABLE))
 
 
