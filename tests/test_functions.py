@@ -39,6 +39,16 @@ def test_rule_file(spark, tmp_path):
     assert got == {"a.b.ck": "a.b.ck", "x.a.b.ck": "a.b.ck", "www.ck": "www.ck", "y.www.ck": "www.ck", "b.ck": "b.ck"}
 
 
+def test_packaged_rules(spark):
+    assert common_rules(spark).count() == 1738
+    want = {"www.x.gov.uk": "x.gov.uk", "a.shop.com.mx": "shop.com.mx", "me.github.io": "me.github.io", "a.b.myshopify.com": "b.myshopify.com", "x.example.com": "example.com"}
+    three = [r["rule"] for r in common_rules(spark).collect() if r["rule"].count(".") == 2]
+    want |= {f"a.b.{s}": f"b.{s}" for s in three}
+    assert len(three) == 5
+    rows = spark.createDataFrame([(f"https://{h}/",) for h in want], "source_url string")
+    assert {r["host"]: r["root_domain"] for r in url_roots(rows, common_rules(spark)).collect()} == want
+
+
 def test_timestamps(spark):
     got = _apply(spark, ["1699000000.7", str(NOW + 3), str(NOW + 5), str(NOW + 10), "inf", "not-a-timestamp", None, "2023-11-14T22:13:19.5Z", "2023-11-14T22:13:19", "2023-11-14T23:13:19+01:00", "1969-12-31T23:59:59.5Z"], lambda c: S.canonical_timestamp(c, NOW))
     assert got == [1699000000, NOW + 3, NOW + 5, None, None, None, None, NOW - 1, NOW - 1, NOW - 1, -1]

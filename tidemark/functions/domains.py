@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import extract_host
 
-#: Used where no rule file is given; a file of all rules is a parameter.
-COMMON_SUFFIXES = "com org net edu gov co.uk org.uk ac.uk com.au co.jp co.nz com.br co.in co.za".split()
+#: Used where no rule file is given: the pinned list PSL-2026-01-01; another file is a parameter.
+RULE_FILE = "public_suffixes.dat"
 
 
-def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(rule, kind) of a rule file: one a line, // comments, ! exceptions, *. wildcards."""
+def _parse(lines: DataFrame) -> DataFrame:
     line = F.lower(F.trim(F.regexp_replace("value", "\r$", "")))
-    rows = spark.read.text(path).select(line.alias("rule")).where("rule <> '' AND NOT startswith(rule, '//')")
+    rows = lines.select(line.alias("rule")).where("rule <> '' AND NOT startswith(rule, '//')")
     kind = F.when(F.col("rule").startswith("!"), "exception").otherwise("rule")
     return rows.select(F.regexp_replace("rule", "^!", "").alias("rule"), kind.alias("kind")).distinct()
 
 
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(rule, kind) of a rule file: one a line, // comments, ! exceptions, *. wildcards."""
+    return _parse(spark.read.text(path))
+
+
 def common_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, "rule") for s in COMMON_SUFFIXES], "rule string, kind string")
+    """The rules of the package's own file, read by the driver: executors may not have its folder."""
+    lines = files("tidemark.functions").joinpath(RULE_FILE).read_text("utf-8").splitlines()
+    return _parse(spark.createDataFrame([(x,) for x in lines], "value string"))
 
 
 def root_domains(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
