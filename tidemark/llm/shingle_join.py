@@ -2,12 +2,13 @@
 
 Sizes: linked sets differ in size by the threshold at most, so each size band is compared with itself and
 with the little of the next band that it can reach.
-Tiles: two linked sets of a band differ in at most d shingles. The hash space is cut into more than d
-slices, so linked sets agree on all their shingles in at least one slice: a tile holds the sets of a
-band that agree on one slice. No link is lost, and no pair of a band is made that shares no tile.
+Tiles: two linked sets of a band differ in at most d shingles. The hash space is cut into d + spare + m
+slices, so linked sets agree on all their shingles in at least spare + m slices: a tile holds the sets of
+a band that agree on one slice. Linked sets share m tiles or more (see tile_keys), so tiles carry ids
+and sizes only, a pair's shared tiles are counted, and pairs that share fewer than m are dropped.
 Bitmaps: a set's hashed bitmap bounds an overlap from above: every bit that one has and the other
-lacks is at least one shingle that is not shared. Pairs whose bound falls short are dropped.
-Then the sorted shingle arrays of the pairs that are left are intersected exactly.
+lacks is at least one shingle that is not shared. Of the pairs left, those whose bound falls short are
+dropped. Then the sorted shingle arrays of what is left are intersected exactly.
 
 Copies with equal sets are one node. In a tile every node is first compared with the tile's smallest;
 only nodes of a tile that these links leave in different components are compared with each other, in
@@ -17,7 +18,6 @@ blocks, so that a large group of near copies does not make all its pairs.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +82,16 @@ class Bands:
     def spare(self, band: int) -> int:
         return 2 + self.differing(band) // 50
 
+    def shared(self, band: int) -> int:
+        """Tiles that two linked sets share at least, the smaller of them in the band."""
+        return 3 + self.differing(band) // 24
+
+    def needed(self, sizes: np.ndarray) -> np.ndarray:
+        """shared() of the bands of sizes."""
+        band = np.maximum(np.searchsorted(self.lows, sizes, "right") - 1, 0)
+        kinds, at = np.unique(band, return_inverse=True)
+        return np.array([self.shared(int(b)) for b in kinds], np.int64)[at.ravel()] if len(band) else np.zeros(0, np.int64)
+
     def of(self, size: int) -> list[int]:
         """The bands whose tiles a set of this size stands in."""
         if size < self.lows[0]:
@@ -94,14 +104,16 @@ class Bands:
 def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     """The tiles of a sorted set: hashes of (band, slice, the shingles in the slice).
 
-    Of more than differing + spare slices, linked sets agree on more than spare; a set with at most
-    spare empty slices therefore agrees on one that is not empty, so empty slices make tiles only
-    for the rare sets with more.
+    Of differing + spare + shared slices, linked sets agree on spare + shared or more, as each shingle
+    in which they differ lies in one slice. If one of the two has at most spare empty slices, at least
+    `shared` of these are not empty, in it and so in the other, and both make tiles of them. If both have
+    more, both make tiles of all slices, empty ones too. So linked sets share `shared` tiles of the
+    smaller one's band, in which both stand (see of).
     """
     out = []
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _C1))))
     for band in bands.of(len(h)):
-        k = bands.differing(band) + 1 + bands.spare(band)
+        k = bands.differing(band) + bands.spare(band) + bands.shared(band)
         at = np.searchsorted((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
         held = at[1:] > at[:-1]
         if (~held).sum() > bands.spare(band):
@@ -119,14 +131,8 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def halved(bits: np.ndarray, to: int) -> np.ndarray:
-    while len(bits) > to:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
-
-
 def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, k1, k2, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set."""
+    """(doc_id, n, k1, k2, needed, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set, needed the tiles that linked sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bands = WordHashes(), Bands(num, den)
@@ -142,11 +148,12 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     k2.append(int.from_bytes(d[8:], "little", signed=True))
                     bits.append(bitmap(h))
                     tiles.append(tile_keys(h, bands).view(np.int64))
-                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "bits", "tiles"])
+                needed = bands.needed(np.array(n, np.int64))
+                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(needed, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "needed", "bits", "tiles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits array<long>, tiles array<long>")
+    return rows.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, needed long, bits array<long>, tiles array<long>")
 
 
 def _enough(shared: Column, na: Column, nb: Column, num: int, den: int) -> Column:
@@ -176,90 +183,113 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataF
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by intersection of their sorted arrays."""
+    """The pairs (a, b) whose sets are similar enough, by intersection of their sorted arrays.
+
+    The partners of an `a` are dealt to tasks in parts of about BLOCK; the text of `a` goes to each part once.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id")
-    a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    partners = pairs.join(small(parts), "a").select("a", part, "b").join(texts.toDF("b", "text"), "b")
+    centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b")).join(texts.toDF("a", "text"), "a")
+    rows = partners.select("a", "part", "b", "text").union(centres.select("a", "part", "b", "text"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        held: OrderedDict[str | None, np.ndarray] = OrderedDict()
-
-        def sorted_set(text):
-            if text not in held:
-                held[text] = shingles(text, words, known)
-                if len(held) > 64:
-                    held.popitem(last=False)
-            return held[text]
-
+        here: tuple | None = None
+        own: list[np.ndarray] = []  # rows that share a doc_id are one document
         for r in batches:
-            out = []
-            for x, y in zip(r.column("text_a"), r.column("text_b"), strict=True):
-                p, q = sorted_set(x.as_py()), sorted_set(y.as_py())
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(shared * den >= num * (len(p) + len(q) - shared) and shared > 0)
-            yield pa.RecordBatch.from_arrays([r.column("a"), r.column("b")], names=["a", "b"]).filter(pa.array(out, pa.bool_()))
+            found = []
+            for a, part, b, text in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2).to_pylist(), r.column(3), strict=True):
+                if (a, part) != here:
+                    here, own = (a, part), []
+                q = shingles(text.as_py(), words, known)
+                if b is None:
+                    own.append(q)
+                    continue
+                for p in own:
+                    shared = len(np.intersect1d(p, q, assume_unique=True))
+                    if shared and shared * den >= num * (len(p) + len(q) - shared):
+                        found.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a tile and whose bitmaps allow enough overlap.
+def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components, of sizes that allow a link, that share enough tiles.
 
-    members: (tile, node, label) of the tiles that hold more than one label. Tiles of more than
-    BLOCK nodes are cut into blocks that are compared two at a time.
+    mixed: (tile, node, n, label, nodes) of the tiles that hold more than one label, with the tile's
+    number of rows. Tiles of more than BLOCK nodes are cut into blocks that are compared two at a time.
     """
-    blocks = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    s = sketches.select(F.col("doc_id").alias("node"), "n", "bits")
-    rows = members.join(blocks, "tile").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int")
+    rows = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    rows = s.join(rows, "node").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-
-    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        *ints, raw = zip(*group, strict=True)
-        _, i, j, own, node, label, n = (np.array(c) for c in ints)
-        least = min(map(len, raw))  # sizes in a tile differ by two bands at most
-        bits = np.array([halved(x, least) for x in raw]).view(np.uint64)
-        n = n.astype(np.int64)
-        out = []
-        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-        for x in left:
-            y = right[(label[right] != label[x]) & ((node[right] > node[x]) if i[0] == j[0] else (node[right] != node[x]))]
-            if len(y):
-                x_lacks = np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64)
-                y_lacks = np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64)
-                bound = np.minimum(n[x] - y_lacks, n[y] - x_lacks)
-                y = y[bound * (num + den) >= num * (n[x] + n[y])]
-                out += [(min(node[x], v), max(node[x], v)) for v in node[y]]
-        return out
+    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n")
+    rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own")
+
+    def pairs_of(node, label, n, left, right) -> list[np.ndarray]:
+        """(a, b, the smaller size) of the rows left x right; of one block, each pair once."""
+        x, y = np.nonzero(
+            (label[left][:, None] != label[right][None, :])
+            & (np.minimum(n[left][:, None], n[right][None, :]) * den >= np.maximum(n[left][:, None], n[right][None, :]) * num)
+            & ((node[left][:, None] < node[right][None, :]) if left is right else (node[left][:, None] != node[right][None, :]))
+        )
+        x, y = left[x], right[y]
+        return [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(n[x], n[y])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        found: set[tuple[int, int]] = set()
-
-        def flush():
-            nonlocal found
-            batch = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            found = set()
-            return batch
+        bands = Bands(num, den)
+        rest: list[np.ndarray] | None = None
+        out: list[list[np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            a, b, n = (np.concatenate([np.zeros(0, np.int64), *[o[k] for o in out]]) for k in range(3))
+            order = np.lexsort((n, b, a))
+            a, b, n = a[order], b[order], n[order]
+            start = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0))) if len(a) else np.zeros(0, np.int64)
+            times = np.diff(np.append(start, len(a)))
+            cols = [a[start], b[start], times, bands.needed(n[start])]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "tiles", "needed"])
+
+        def groups(cols: list[np.ndarray], ends: np.ndarray) -> None:
+            nonlocal held
+            _, i, j, own, node, label, n = cols
+            start = 0
+            for end in ends.tolist():
+                if end - start > 1:
+                    if i[start] == j[start]:
+                        left = right = np.arange(start, end)
+                    else:
+                        cut = start + int(np.searchsorted(own[start:end], j[start]))
+                        left, right = np.arange(start, cut), np.arange(cut, end)
+                    found = pairs_of(node, label, n, left, right)
+                    if len(found[0]):
+                        out.append(found)
+                        held += len(found[0])
+                start = end
 
         for r in batches:
-            cols = [c.to_pylist() for c in r.columns[:-1]] + [[np.array(x.as_py(), np.int64) for x in r.columns[-1]]]
-            for row in zip(*cols, strict=True):
-                if group and row[:3] != group[0][:3]:
-                    found.update(pairs_of(group))
-                    group = []
-                    if len(found) > 50_000:
-                        yield flush()
-                group.append(row)
-        if group:
-            found.update(pairs_of(group))
+            cols = [c.to_numpy().astype(np.int64) for c in r.columns]
+            if rest is not None:
+                cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
+            ends = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            groups(cols, ends)
+            rest = [c[ends[-1] :] for c in cols] if len(ends) else cols
+            if held > 1 << 20:
+                yield flush()
+                out.clear()
+                held = 0
+        if rest is not None and len(rest[0]):
+            groups(rest, np.array([len(rest[0])]))
         yield flush()
 
-    rows = rows.select("tile", "i", "j", "own", "node", "label", "n", "bits")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = rows.mapInArrow(run, "a long, b long, tiles long, needed long")
+    return rows.groupBy("a", "b").agg(F.sum("tiles").alias("tiles"), F.min("needed").alias("needed")).where("tiles >= needed").select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, den: int) -> DataFrame:
@@ -273,23 +303,26 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     """
     docs = docs.where("doc_id IS NOT NULL")
     rows = scratch.stage(_profiles(docs, words, num, den))
-    light = rows.select("doc_id", "n", "k1", "k2")
-    own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
+    light = rows.select("doc_id", "n", "k1", "k2", "needed")
+    own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("needed").alias("needed")))
     # a tile row is two longs: equal sets have one k1, which stands for them until tiles of one set are gone
     tiles = rows.where("n > 0").select("k1", F.explode("tiles").alias("tile"))
-    shared = tiles.withColumns({"lo": F.min("k1").over(Window.partitionBy("tile")), "hi": F.max("k1").over(Window.partitionBy("tile"))}).where("lo < hi")
+    of_tile = Window.partitionBy("tile")
+    shared = tiles.withColumns({"lo": F.min("k1").over(of_tile), "hi": F.max("k1").over(of_tile)}).where("lo < hi")
     shared = scratch.stage(shared.select("tile", "k1").distinct())
-    members = shared.join(own.select("k1", "node"), "k1").select("tile", "node", F.min("node").over(Window.partitionBy("tile")).alias("lo"))
+    members = shared.join(own.drop("k2"), "k1").select("tile", "node", "n", "needed", F.min(F.struct("node", "needed")).over(of_tile).alias("lo"))
     members = scratch.stage(members)
     sketches = rows.select("doc_id", "n", "bits")
-    first = members.where("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    star = scratch.stage(_bounded(first, sketches, num, den))
+    first = members.where("lo.node < node").groupBy(F.col("lo.node").alias("a"), F.col("node").alias("b"))
+    first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("needed", "lo.needed")).alias("needed")).where("tiles >= needed").select("a", "b")
+    star = scratch.stage(_bounded(scratch.stage(first), sketches, num, den))
     edges = scratch.stage(_exact(star, docs, words, num, den))
     labels = components(edges, scratch)
     label = F.coalesce("component", "node").alias("label")
-    labelled = members.select("tile", "node").join(labels, "node", "left").select("tile", "node", label)
-    mixed = labelled.withColumns({"l": F.min("label").over(Window.partitionBy("tile")), "h": F.max("label").over(Window.partitionBy("tile"))}).where("l < h")
-    more = scratch.stage(_across(scratch.stage(mixed.select("tile", "node", "label")), sketches, num, den).join(star, ["a", "b"], "left_anti"))
+    labelled = members.select("tile", "node", "n").join(labels, "node", "left").select("tile", "node", "n", label)
+    mixed = labelled.withColumns({"l": F.min("label").over(of_tile), "h": F.max("label").over(of_tile), "nodes": F.count(F.lit(1)).over(of_tile)}).where("l < h")
+    alike = scratch.stage(_across(scratch.stage(mixed.select("tile", "node", "n", "label", "nodes")), num, den).join(star, ["a", "b"], "left_anti"))
+    more = scratch.stage(_bounded(alike, sketches, num, den))
     if more.limit(1).count():
         more = scratch.stage(_exact(more, docs, words, num, den))
         if more.limit(1).count():
