@@ -145,7 +145,7 @@ def brute_items(docs, items):
         for i, item in items:
             x = words(item)
             best = 0.0
-            for at in range(len(w) - len(x) + 1) if x else ():
+            for at in range(max(len(w) - len(x), 0) + 1) if x and w else ():
                 a, b = bag(w[at : at + len(x)]), bag(x)
                 best = max(best, (a & b).total() / (a | b).total())
             if best >= 0.8:
@@ -186,6 +186,32 @@ def test_decontamination(spark):
     assert scratch.finish(decontaminate.contamination(frame, bench.limit(0), scratch)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_reordered_and_cut_items(spark):
+    """A repeated phrase with its fillers in another order has similarity 1; a document may be an item that lacks its end."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijk", k=4))
+    items, docs = [], []
+    for i in range(8):
+        phrase, fill = [word() for _ in range(4)], [word() for _ in range(12)]
+        text = lambda order: " ".join([*[" ".join([*phrase, x]) for x in order], *phrase])  # noqa: E731, B023
+        items.append((i, text(fill)))
+        for alone in (True, False):
+            order = rnd.sample(fill, 12)
+            docs.append((len(docs), text(order) if alone else " ".join([word() for _ in range(30)] + [text(order)] + [word() for _ in range(30)])))
+    for i in range(8, 14):
+        w = [word() for _ in range(60)]
+        items.append((i, " ".join(w)))
+        docs += [(len(docs), " ".join(w[:-1])), (len(docs) + 1, " ".join(w[12:])), (len(docs) + 2, " ".join(w[13:])), (len(docs) + 3, " ".join(w[:55] * 40))]
+    items.append((50, "again " * 40))
+    docs += [(len(docs), "again " * 9000), (len(docs) + 1, "again " * 33), (len(docs) + 2, " ".join(["common", "words"] * 6000))]
+    scratch = Scratch(spark)
+    got = scratch.finish(decontaminate.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), scratch)).collect()
+    want = brute_items(docs, items)
+    assert {r["doc_id"]: list(r["item_ids"]) for r in got if r["contaminated"]} == {d: sorted(x) for d, x in want.items()}
+    assert all(abs(r["similarity"] - max(want[r["doc_id"]].values())) < 1e-12 for r in got if r["contaminated"])
+    assert set(range(16)) <= set(want)
+
+
 # --- toxicity -------------------------------------------------------------------------------------------
 
 

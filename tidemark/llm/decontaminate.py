@@ -1,146 +1,132 @@
 """Benchmark decontamination in DataFrame expressions only.
 
-Windows are sized by the items: an item of L words that matches a passage with similarity MIN_SIMILARITY or
-more shares with it a run of words without an edit, whose least length follows from L (see _ladder). For
-each class of items, every document is cut into windows of `size` words at every `step` words, and every item into windows of that size at every word, so that such a run holds a window of both.
-A window's SimHash has 120 bits: packed counters add 15 bits of its words' hashes at a time, and the
-majority of each bit is the fingerprint. Four blocks of 30 bits index the items' windows: two fingerprints
-that differ in RADIUS = 3 bits or fewer agree on a block, so the join on blocks finds all within the radius.
-Each hit places the item in the document; there the item-sized windows around are compared with the
-item exactly, by weighted Jaccard similarity of their shingles (a shingle weighs as often as it occurs).
+A document holds an item if an item-sized window of it has a weighted Jaccard similarity of MIN_SIMILARITY
+(NUM / DEN) or more with the item, on shingles of SHINGLE words that weigh as often as they occur.
+
+Why windows are not found by blocks of SimHash fingerprints: at a similarity of 0.8 two fingerprints differ
+in about 15 % of their bits, so that a radius that loses nothing worth naming takes blocks of three bits,
+which single out nothing; a radius with selective blocks loses links (figures in the README). The index here is
+over the shingles themselves, and its pigeonhole argument holds for any texts:
+
+Anchors: of an item's n shingles, a similar window shares NUM / DEN * n or more (see _anchors). Whichever shingles
+of a total weight above n - that are chosen, it holds one of them. The rarest in the documents are the item's anchors.
+Counts: only documents with an anchor of an item are compared with it. Sorted by place, the shingles there that are the item's
+tell for each whether enough of them follow within an item-sized window.
+Then such a window's weighted similarity is computed exactly. One pass reads the texts; all else are light rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, small, table
 
-SHINGLE, RADIUS, NUM, DEN = 5, 3, 80, 100
-#: One bit in each of 15 lanes of four bits: a lane counts up to 15 words.
-_LANES = 0x0111111111111111
-#: Windows of the items' index that may be broadcast, after they were counted (five longs each).
-INDEX_ROWS = 400_000
-#: Words of all items up to which their shingles may be broadcast, after they were counted (a long each).
-ITEM_WORDS = 1_000_000
+SHINGLE, NUM, DEN = 5, 80, 100
+#: Shingles of all items up to which they may be broadcast, after they were counted (a long each).
+INDEX_ROWS = 1_000_000
+_DOC, _ITEM = ["doc_id", "row"], ["item_id", "version"]
 
 
-def word_hashes(text: Column) -> Column:
-    """64-bit hashes of a whole text's words; lower case, words by ASCII white space; null and wordless texts have none."""
+def words_of(text: Column) -> Column:
+    """A whole text's words; lower case, words by ASCII white space; null and wordless texts have none."""
     flat = F.lower(F.coalesce(text, F.lit("")))
     for c in "\t\n\x0b\f\r":
         flat = F.replace(flat, F.lit(c), F.lit(" "))
-    return F.transform(F.array_remove(F.split(flat, " ", -1), ""), lambda w: F.xxhash64(w))
+    return F.array_remove(F.split(flat, " ", -1), "")
 
 
-def _ladder(length: int) -> tuple[int, int]:
-    """(window size, step) of the class of items with so many words.
+def _shingles(rows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
+    """rows (keep, w) -> keep, words, at, key: a row for each place and each of the sizes, with the hash of so many words from there."""
 
-    n = L - 4 shingles can lose n / 9 at most. An edit inside costs five, so up to 48 words there is
-    none and the run has L - n / 9 words: 14 or more, 23 or more from 25 words on. Beyond, the
-    longest of the runs between edits has 24 or more. A run of size + step - 1 words holds one of
-    the document's windows.
-    """
-    return (12, 12) if length >= 25 else (8, 7) if length >= 15 else (5, 1) if length >= 5 else (length, 1)
+    def starts(size: int) -> Column:
+        last = F.size("w") - size
+        at = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at")))
+        return F.when(last >= 0, at).otherwise(F.expr("CAST(array() AS array<struct<size:int,at:int>>)"))
 
+    def hash_of(size: int) -> Column:
+        return F.xxhash64(F.lit(size), *[F.get("w", F.col("at") + i) for i in range(size)])
 
-def _windows(rows: DataFrame, sizes: list[tuple[int, int]], keep: list[str]) -> DataFrame:
-    """rows (keep, h array<long>) -> a row for each window of each (size, step): keep, size, at, b0..b3 (30 bits of fingerprint each)."""
+    if len(sizes) == 1:
+        last = F.size("w") - sizes[0]
+        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
+        return rows.select(*keep, "w", F.explode(at).alias("at")).select(*keep, F.size("w").alias("words"), "at", hash_of(sizes[0]).alias("key"))
+    key = F.lit(None).cast("long")
+    for size in sizes:
+        key = F.when(F.col("size") == size, hash_of(size)).otherwise(key)
+    return rows.select(*keep, "w", F.inline(F.concat(*[starts(s) for s in sizes]))).select(*keep, F.size("w").alias("words"), "at", key.alias("key"))
+
+
+def _index(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(item_id, version, length, n, key, weight): an item's words, its shingles, and how often each occurs. Texts of one item_id are versions."""
+    found = None
+    for size in sizes:
+        own = items.where(F.size("w") >= size if size == SHINGLE else F.size("w") == size)
+        part = _shingles(own, _ITEM, [size])
+        found = part if found is None else found.unionByName(part)
+    rows = found.groupBy(*_ITEM, F.col("words").alias("length"), "key").agg(F.count(F.lit(1)).alias("weight"))
+    return rows.withColumn("n", F.sum("weight").over(Window.partitionBy(*_ITEM)))
 
-    def starts(size: int, step: int) -> Column:
-        last = F.size("h") - size
-        at = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at")))
-        return F.when(last >= 0, at).otherwise(F.expr("CAST(array() AS array<struct<size:int,at:int>>)"))
 
-    most, least = max(s for s, _ in sizes), min(s for s, _ in sizes)
-    rows = rows.select(*keep, "h", F.inline(F.concat(*[starts(*s) for s in sizes])))
-    has = lambda i, x: x if i < least else F.when(F.col("size") > i, x).otherwise(F.lit(0).cast("long"))
-    x = rows.select(*keep, "size", "at", *[F.coalesce(has(i, F.get("h", F.col("at") + i)), F.lit(0).cast("long")).alias(f"x{i}") for i in range(most)])
-    y = x.select("*", *[has(i, F.xxhash64(f"x{i}")).alias(f"y{i}") for i in range(most)])
-    lift = F.lit(0).cast("long")  # a lane's fourth bit is then its majority
-    for size, _ in sizes:
-        lift = F.when(F.col("size") == size, F.lit((8 - (size // 2 + 1)) * _LANES)).otherwise(lift)
-    y = y.withColumn("lift", lift)
-
-    def majority(word: str, shift: int) -> Column:
-        total = F.col("lift")
-        for i in range(most):
-            total = total + F.shiftrightunsigned(f"{word}{i}", shift).bitwiseAND(F.lit(_LANES))
-        return total.bitwiseAND(F.lit(_LANES << 3))
-
-    sums = y.select(*keep, "size", "at", *[majority(w, s).alias(f"{w}_{s}") for w in "xy" for s in range(4)])
-    pairs = [("x_0", "x_1"), ("x_2", "x_3"), ("y_0", "y_1"), ("y_2", "y_3")]
-    return sums.select(*keep, "size", "at", *[F.col(p).bitwiseOR(F.shiftrightunsigned(q, 1)).alias(f"b{k}") for k, (p, q) in enumerate(pairs)])
-
-
-def _blocks(windows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """A row for each window and block. The key is one long: the block's bits, its number and the window's class in bits they leave free."""
-    own = F.lit(0).cast("long")
-    for i, size in enumerate(sizes):
-        own = F.when(F.col("size") == size, F.lit(i << 60)).otherwise(own)
-    blocks = F.array(*[F.col(f"b{k}").bitwiseOR(own).bitwiseOR(F.lit(k)).alias("key") for k in range(4)])
-    return windows.select(*keep, "at", "b0", "b1", "b2", "b3", F.explode(blocks).alias("key"))
-
-
-def _near(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, item_id, start): where items could lie in documents, by fingerprints within the radius."""
-    lengths = [r["n"] for r in items.select(F.size("h").alias("n")).distinct().collect()]
-    classes = sorted({_ladder(n) for n in lengths})  # seven at most
-    sizes = [size for size, _ in classes]
-    index = None
-    for c in classes:
-        own = items.where(F.size("h").isin([n for n in lengths if _ladder(n) == c]))
-        found = _blocks(_windows(own, [(c[0], 1)], ["item_id"]), ["item_id"], sizes)
-        index = found if index is None else index.unionByName(found)
-    if index is None:
-        return scratch.spark.createDataFrame([], "doc_id long, item_id long, start int")
-    index = scratch.stage(index.toDF("item_id", "offset", "c0", "c1", "c2", "c3", "key").distinct())
-    probes = _blocks(_windows(docs.select("doc_id", "h"), classes, ["doc_id"]), ["doc_id"], sizes)
-    hits = probes.join(small(index, INDEX_ROWS), "key")
-    differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(1, 4)), F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))))
-    return hits.where(differ <= RADIUS).select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start")).distinct()
-
-
-def _shingles(h: Column) -> Column:
-    """Hashes of the shingles of SHINGLE words; of fewer words, one shingle of them all."""
-    n = F.size(h)
-    return F.when(n < SHINGLE, F.array(F.hash(h).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
-    )
-
-
-def _similar(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity): the best item-sized window around each place, where it is similar enough."""
-    ids = near.select("doc_id").distinct()
-    texts = docs.join(small(ids), "doc_id")
-    own = items.select("item_id", F.size("h").alias("words"), _shingles(F.col("h")).alias("item"))
-    words = items.agg(F.sum(F.size("h"))).first()[0] or 0
-    rows = texts.join(near, "doc_id").join(F.broadcast(own) if words <= ITEM_WORDS else own, "item_id")
-    slack = F.greatest(F.lit(0), F.floor((F.col("words") - SHINGLE + 1) * (DEN - NUM) / (DEN + NUM)).cast("int"))
-    rows = rows.withColumn("from", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)))
-    rows = rows.where((F.col("from") >= 0) & (F.col("from") + F.col("words") <= F.size("h"))).select("doc_id", "item_id", "words", "item", "from", F.slice("h", F.col("from") + 1, F.col("words")).alias("w")).dropDuplicates(["doc_id", "item_id", "from", "w"])
-    rows = rows.select("doc_id", "item_id", "item", _shingles(F.col("w")).alias("window"))
-    # the weights that two bags share: of each distinct shingle, the smaller count
-    times = lambda bag, s: F.size(F.filter(bag, lambda v: v == s))
-    shared = F.aggregate(F.array_intersect("item", "window"), F.lit(0), lambda acc, s: acc + F.least(times("item", s), times("window", s)))
-    rows = rows.select("doc_id", "item_id", shared.alias("shared"), (F.size("item") + F.size("window")).alias("sum"))
-    rows = rows.where(F.col("shared") * (NUM + DEN) >= F.col("sum") * NUM)
-    return rows.groupBy("doc_id", "item_id").agg(F.max(F.col("shared") / (F.col("sum") - F.col("shared"))).alias("similarity"))
+def _least_shared(n: Column, m: Column) -> Column:
+    """Shingles that bags of n and m share at least where their similarity is enough."""
+    return F.ceil((n + m) * NUM / (NUM + DEN)).cast("long")
+
+
+def _anchors(index: DataFrame, hits: DataFrame) -> DataFrame:
+    """(item_id, version, key): shingles of each item of which any similar window holds one.
+
+    A window has as many shingles as the item or, where a document is shorter than the item, m fewer than n of
+    them; it shares s with s >= (n + m) NUM / (NUM + DEN) and s <= m, hence m >= n NUM / DEN and s >= n NUM / DEN.
+    Shingles with a total weight above n - s therefore meet the window. The rarest are taken.
+    """
+    often = hits.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    rows = index.join(often, "key", "left")
+    before = Window.partitionBy(*_ITEM).orderBy(F.coalesce("often", F.lit(0)), "key").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    enough = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    return rows.where((F.col("before") < enough) & F.col("often").isNotNull()).select(*_ITEM, "key")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text) and benchmark (item_id, text) -> (doc_id, item_id, similarity) of what documents hold.
 
     An item is held where a window of as many words has a weighted Jaccard similarity of NUM / DEN
-    or more with it, on shingles of SHINGLE words; of shorter items all words must agree in order.
+    or more with it, on shingles of SHINGLE words; of shorter items all words must agree in order. A
+    document with fewer words than the item is compared whole. Shingles are compared by 64-bit hashes.
     Null and wordless texts and items hold nothing and are held nowhere; rows that share a doc_id
-    are one document, items that share an item_id one item; rows without an id are left out.
+    are one document that holds what one of them holds, items that share an item_id one item; rows without an id are left out.
     """
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
-    items = scratch.stage(items)
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", word_hashes(F.col("text")).alias("h"))
-    return _similar(scratch.stage(_near(docs, items, scratch)), docs, items)
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = scratch.stage(items.withColumn("version", F.xxhash64("w")).dropDuplicates(_ITEM))
+    sizes = sorted(r["s"] for r in items.select(F.least(F.size("w"), F.lit(SHINGLE)).alias("s")).distinct().collect())  # five at most
+    if not sizes:
+        return scratch.spark.createDataFrame([], "doc_id long, item_id long, similarity double")
+    index = scratch.stage(_index(items, sizes))
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("w"))
+    hits = _shingles(docs, _DOC, sizes).join(small(index.select("key").distinct(), INDEX_ROWS), "key")
+    hits = scratch.stage(hits.select(*_DOC, "words", "at", "key").distinct())  # rows that are repeated count once
+    places = hits.select(*_DOC, "key").join(small(_anchors(index, hits)), "key").select(*_DOC, *_ITEM).distinct()
+    of_item = [*_DOC, *_ITEM]
+    own = hits.join(places, _DOC).join(small(index), [*_ITEM, "key"])
+    window = F.least("words", "length")
+    m = F.when(F.col("length") >= SHINGLE, window - (SHINGLE - 1)).otherwise(1).cast("int")
+    # a window that starts later, at the next shingle of the item or as the last one, shares no less
+    own = own.select(*of_item, "at", "key", "weight", "n", m.alias("m"), F.least("at", F.col("words") - window).alias("start"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*of_item).orderBy("at", "key")))
+    own = scratch.stage(own)
+    last = own.select(*of_item, (F.col("nth") - _least_shared(F.col("n"), F.col("m")) + 1).alias("nth"), F.col("at").alias("last"))
+    windows = own.select(*of_item, "nth", "start", "n", "m").join(last, [*of_item, "nth"]).where("last < start + m")
+    windows = windows.select(*of_item, "start", "n", "m").distinct()
+    # a window meets the shingles of the two stretches of n places in which it lies
+    stretch = F.floor(F.col("start") / F.col("n"))
+    spread = windows.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    inside = own.select(*of_item, "at", "key", "weight", F.floor(F.col("at") / F.col("n")).alias("stretch"))
+    inside = spread.join(inside, [*of_item, "stretch"]).where("at >= start AND at < start + m")
+    shared = inside.groupBy(*of_item, "start", "n", "m", "key").agg(F.least(F.count(F.lit(1)), F.first("weight")).alias("shared"))
+    sums = shared.groupBy(*of_item, "start", "n", "m").agg(F.sum("shared").alias("shared"))
+    sums = sums.select("doc_id", "item_id", "shared", (F.col("n") + F.col("m") - F.col("shared")).alias("all")).where(F.col("shared") * DEN >= F.col("all") * NUM)
+    return sums.groupBy("doc_id", "item_id").agg(F.max(F.col("shared") / F.col("all")).alias("similarity"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
