@@ -2,10 +2,12 @@
 
 Sizes: linked sets differ in size by the threshold at most, so each size band is compared with itself and
 with the little of the next band that it can reach.
-Tiles: two linked sets of a band differ in at most d shingles. The hash space is cut into d + spare + m
-slices, so linked sets agree on all their shingles in at least spare + m slices: a tile holds the sets of
-a band that agree on one slice. Linked sets share m tiles or more (see tile_keys), so tiles carry ids
-and sizes only, a pair's shared tiles are counted, and pairs that share fewer than m are dropped.
+Tiles: within a band, a tile holds the sets that have one shingle among their first ones. All sets order their
+shingles alike, by how many documents of a sample hold them: rare ones first. Of n shingles, linked sets share
+n * num / den or more, so that they share LEAST of their first n - n * num / den + LEAST (see tile_keys): no
+link is lost, whatever the sample is, and passages that many documents hold make no tiles for
+documents that have enough else. Tiles carry ids and sizes only; a pair's shared tiles are counted, and pairs that
+share fewer than LEAST are dropped.
 Bitmaps: a set's hashed bitmap bounds an overlap from above: every bit that one has and the other
 lacks is at least one shingle that is not shared. Of the pairs left, those whose bound falls short are
 dropped. Then the sorted shingle arrays of what is left are intersected exactly.
@@ -30,7 +32,11 @@ from tidemark.llm.common import Scratch, components, small, table
 
 #: A bitmap has so many bits for each shingle, rounded up to a power of two; fuller ones bound too little.
 BITS_EACH, LEAST_BITS = 8, 512
-BAND_RATIO, BLOCK = 1.5, 512
+BAND_RATIO, BLOCK, LEAST = 1.5, 512, 3
+#: The sample for the order: a share of the documents, but so many at least; and its most frequent shingles, broadcast (12 bytes each).
+SAMPLE_SHARE, SAMPLE_DOCS, POPULAR = 0.01, 10_000, 1_000_000
+#: Pairs that a task holds before it sends them.
+HELD = 1 << 19
 _CACHE = 400_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -66,7 +72,7 @@ def shingles(text: str | None, words: int, known: WordHashes) -> np.ndarray:
 
 
 class Bands:
-    """Size bands, and of each the slices that its tiles need; num / den is the least Jaccard similarity."""
+    """Size bands; num / den is the least Jaccard similarity."""
 
     def __init__(self, num: int, den: int, top: int = 1 << 31):
         self.num, self.den = num, den
@@ -74,24 +80,6 @@ class Bands:
         while self.lows[-1] < top:
             self.lows.append(max(self.lows[-1] + 1, math.floor(self.lows[-1] * BAND_RATIO)))
 
-    def differing(self, band: int) -> int:
-        """Most shingles in which two linked sets differ, the smaller of them in the band."""
-        least = self.lows[band + 1] - 1
-        return (least + least * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-
-    def spare(self, band: int) -> int:
-        return 2 + self.differing(band) // 50
-
-    def shared(self, band: int) -> int:
-        """Tiles that two linked sets share at least, the smaller of them in the band."""
-        return 3 + self.differing(band) // 24
-
-    def needed(self, sizes: np.ndarray) -> np.ndarray:
-        """shared() of the bands of sizes."""
-        band = np.maximum(np.searchsorted(self.lows, sizes, "right") - 1, 0)
-        kinds, at = np.unique(band, return_inverse=True)
-        return np.array([self.shared(int(b)) for b in kinds], np.int64)[at.ravel()] if len(band) else np.zeros(0, np.int64)
-
     def of(self, size: int) -> list[int]:
         """The bands whose tiles a set of this size stands in."""
         if size < self.lows[0]:
@@ -101,26 +89,27 @@ class Bands:
         return [band - 1, band] if below else [band]
 
 
-def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """The tiles of a sorted set: hashes of (band, slice, the shingles in the slice).
+def tile_keys(h: np.ndarray, bands: Bands, popular: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The tiles of a sorted set: hashes of (band, shingle) of its first shingles, the rarest first, then by hash.
 
-    Of differing + spare + shared slices, linked sets agree on spare + shared or more, as each shingle
-    in which they differ lies in one slice. If one of the two has at most spare empty slices, at least
-    `shared` of these are not empty, in it and so in the other, and both make tiles of them. If both have
-    more, both make tiles of all slices, empty ones too. So linked sets share `shared` tiles of the
-    smaller one's band, in which both stand (see of).
+    Linked sets share t >= size * num / den shingles, whichever size is taken, as their union has no fewer than
+    either. Of the shared ones, the LEASTth in order has t - LEAST more after it in either set, so it stands
+    among the first size - t + LEAST of both. If t is less than LEAST, all shingles are first ones, and t are shared.
+    Both stand in the smaller one's band (see of).
     """
-    out = []
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _C1))))
-    for band in bands.of(len(h)):
-        k = bands.differing(band) + bands.spare(band) + bands.shared(band)
-        at = np.searchsorted((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
-        held = at[1:] > at[:-1]
-        if (~held).sum() > bands.spare(band):
-            held[:] = True
-        i = np.flatnonzero(held)
-        out.append(_mix((sums[at[i + 1]] - sums[at[i]]) ^ _mix(np.full(1, band + 1, np.uint64) * _C1 + i.astype(np.uint64))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    own = bands.of(len(h))
+    if not own:
+        return np.zeros(0, np.uint64)
+    first = min(len(h), len(h) - -(-len(h) * bands.num // bands.den) + LEAST)
+    if len(popular):
+        at = np.minimum(np.searchsorted(popular, h), len(popular) - 1)
+        h = h[np.argsort(np.where(popular[at] == h, often[at], 0), kind="stable")]
+    return np.concatenate([_mix(h[:first] ^ _mix(np.full(1, band + 1, np.uint64) * _C1)) for band in own])
+
+
+def shared_tiles(n: Column, num: int, den: int) -> Column:
+    """Tiles that linked sets share at least; n is the smaller one's size."""
+    return F.least(F.lit(LEAST), F.ceil(n * num / den))
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -131,11 +120,38 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, k1, k2, needed, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set, needed the tiles that linked sets share."""
+def _popular(docs: DataFrame, words: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles sorted, documents that hold them) of those that two documents of the sample or more hold, POPULAR at most."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, docs.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                sets = [shingles(t.as_py(), words, known) for t in b.column(0).slice(at, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select("text")
+    counts = scratch.stage(chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"))
+    total, least = 0, 1 << 30
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.col("n").desc()).collect():  # grows with the root of the sample's shingles
+        total += r["k"]
+        if total > POPULAR:
+            break
+        least = r["n"]
+    found = counts.where(F.col("n") >= least).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _profiles(docs: DataFrame, words: int, num: int, den: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, n, k1, k2, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set."""
+    held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bands = WordHashes(), Bands(num, den)
+        popular, often = held.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -147,13 +163,12 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     k1.append(int.from_bytes(d[:8], "little", signed=True))
                     k2.append(int.from_bytes(d[8:], "little", signed=True))
                     bits.append(bitmap(h))
-                    tiles.append(tile_keys(h, bands).view(np.int64))
-                needed = bands.needed(np.array(n, np.int64))
-                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(needed, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "needed", "bits", "tiles"])
+                    tiles.append(tile_keys(h, bands, popular, often).view(np.int64))
+                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "bits", "tiles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, needed long, bits array<long>, tiles array<long>")
+    return rows.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits array<long>, tiles array<long>")
 
 
 def _enough(shared: Column, na: Column, nb: Column, num: int, den: int) -> Column:
@@ -242,25 +257,26 @@ def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
         return [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(n[x], n[y])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         rest: list[np.ndarray] | None = None
         out: list[list[np.ndarray]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal held
             a, b, n = (np.concatenate([np.zeros(0, np.int64), *[o[k] for o in out]]) for k in range(3))
+            out.clear()
+            held = 0
             order = np.lexsort((n, b, a))
             a, b, n = a[order], b[order], n[order]
             start = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0))) if len(a) else np.zeros(0, np.int64)
-            times = np.diff(np.append(start, len(a)))
-            cols = [a[start], b[start], times, bands.needed(n[start])]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "tiles", "needed"])
+            cols = [a[start], b[start], n[start], np.diff(np.append(start, len(a)))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n", "tiles"])
 
-        def groups(cols: list[np.ndarray], ends: np.ndarray) -> None:
+        def groups(cols: list[np.ndarray], ends: list[int]) -> Iterator[pa.RecordBatch]:
             nonlocal held
             _, i, j, own, node, label, n = cols
             start = 0
-            for end in ends.tolist():
+            for end in ends:
                 if end - start > 1:
                     if i[start] == j[start]:
                         left = right = np.arange(start, end)
@@ -271,6 +287,8 @@ def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
                     if len(found[0]):
                         out.append(found)
                         held += len(found[0])
+                        if held > HELD:
+                            yield flush()
                 start = end
 
         for r in batches:
@@ -278,18 +296,15 @@ def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
             if rest is not None:
                 cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
             ends = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            groups(cols, ends)
+            yield from groups(cols, ends.tolist())
             rest = [c[ends[-1] :] for c in cols] if len(ends) else cols
-            if held > 1 << 20:
-                yield flush()
-                out.clear()
-                held = 0
         if rest is not None and len(rest[0]):
-            groups(rest, np.array([len(rest[0])]))
+            yield from groups(rest, [len(rest[0])])
         yield flush()
 
-    rows = rows.mapInArrow(run, "a long, b long, tiles long, needed long")
-    return rows.groupBy("a", "b").agg(F.sum("tiles").alias("tiles"), F.min("needed").alias("needed")).where("tiles >= needed").select("a", "b")
+    rows = rows.mapInArrow(run, "a long, b long, n long, tiles long")
+    found = rows.groupBy("a", "b").agg(F.sum("tiles").alias("tiles"), F.min("n").alias("n"))
+    return found.where(F.col("tiles") >= shared_tiles(F.col("n"), num, den)).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, den: int) -> DataFrame:
@@ -302,19 +317,19 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     Rows without a doc_id are left out. Shingles and sets are compared by 64- and 128-bit hashes.
     """
     docs = docs.where("doc_id IS NOT NULL")
-    rows = scratch.stage(_profiles(docs, words, num, den))
-    light = rows.select("doc_id", "n", "k1", "k2", "needed")
-    own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("needed").alias("needed")))
+    rows = scratch.stage(_profiles(docs, words, num, den, _popular(docs, words, scratch)))
+    light = rows.select("doc_id", "n", "k1", "k2")
+    own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")))
     # a tile row is two longs: equal sets have one k1, which stands for them until tiles of one set are gone
     tiles = rows.where("n > 0").select("k1", F.explode("tiles").alias("tile"))
     of_tile = Window.partitionBy("tile")
     shared = tiles.withColumns({"lo": F.min("k1").over(of_tile), "hi": F.max("k1").over(of_tile)}).where("lo < hi")
     shared = scratch.stage(shared.select("tile", "k1").distinct())
-    members = shared.join(own.drop("k2"), "k1").select("tile", "node", "n", "needed", F.min(F.struct("node", "needed")).over(of_tile).alias("lo"))
+    members = shared.join(own.drop("k2"), "k1").select("tile", "node", "n", F.min(F.struct("node", "n")).over(of_tile).alias("lo"))
     members = scratch.stage(members)
     sketches = rows.select("doc_id", "n", "bits")
     first = members.where("lo.node < node").groupBy(F.col("lo.node").alias("a"), F.col("node").alias("b"))
-    first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("needed", "lo.needed")).alias("needed")).where("tiles >= needed").select("a", "b")
+    first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("n", "lo.n")).alias("n")).where(F.col("tiles") >= shared_tiles(F.col("n"), num, den)).select("a", "b")
     star = scratch.stage(_bounded(scratch.stage(first), sketches, num, den))
     edges = scratch.stage(_exact(star, docs, words, num, den))
     labels = components(edges, scratch)
