@@ -4,9 +4,11 @@ Two models, one a class, are counted on a bounded sample of labelled documents:
 their distinct left contexts, so that copies and shared passages count once. Their lowest order is shared: P(w) follows from how many different left
 contexts w has in the whole corpus, counted exactly for every word of it.
 A word's evidence is the difference of its two log-likelihoods; words that neither class has seen
-back off to the same shared probability, of which the classes' backoff weights alone remain. A document is judged by the mean evidence of its
-words and by that of its strongest ones (by words alone, shrunk where few contexts support it: one place of a
-rare word must not outweigh many), calibrated on labelled documents that were not counted.
+back off to the same shared probability, of which the classes' backoff weights alone remain. A document is judged by two
+means over all its words, so that neither grows with length: the mean evidence, and the power mean of order POWER of
+the evidence that speaks for label 1, by words alone and shrunk where few contexts support it. The plain mean alone finds few
+toxic documents, as a few strong words drown in the noise of rare ones (figures in the README); the
+power mean lets strong expressions count. Both are calibrated on labelled documents that were not counted.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-#: Bounds of the labelled sample: documents a class that are expected; one in CALIBRATE calibrates, the others are counted.
-SAMPLE_DOCS, CALIBRATE = 4000, 4
-DISCOUNT, CLIP = 0.75, 8.0
-#: A word's evidence counts among the strongest by n / (n + RELIABLE), where n are its distinct left contexts in both classes.
+#: Bounds of the labelled sample: documents and bytes a class that are expected, bytes of one document; one in CALIBRATE calibrates, the others are counted.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT, CALIBRATE = 4000, 64 << 20, 8 << 20, 4
+DISCOUNT, CLIP, POWER = 0.75, 8.0, 4
+#: A word's evidence counts in the power mean by n / (n + RELIABLE), where n are its distinct left contexts in both classes.
 RELIABLE = 8.0
 #: Words with more than one place of FREQUENT are dealt in PARTS; a task sends its counts after so many PLACES.
 FREQUENT, PARTS, PLACES = 2000, 32, 1 << 22
@@ -48,7 +50,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[Dat
     lab = lab.where(((F.col("toxic") == 1) & (h < share(1))) | ((F.col("toxic") == 0) & (h < share(0))))
     lab = lab.withColumn("part", F.when(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(CALIBRATE)) == 0, "calibrate").otherwise("count"))
     # about twice sample_docs rows are broadcast, at whatever input
-    return docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id"), counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    sample = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT)
+    for c, size in sample.groupBy("toxic").agg(F.sum(F.octet_length("text"))).collect():
+        if (size or 0) > SAMPLE_BYTES:
+            part = F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30))
+            sample = sample.where((F.col("toxic") != c) | (part < int(SAMPLE_BYTES / size * (1 << 30))))
+    return sample, counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
 
 class _Ids(dict):
@@ -69,7 +76,7 @@ class Model:
         self.ids = {w: i for i, w in enumerate(vocabulary)}
         self.unigram, self.context, self.keys, self.bigram = unigram, context, keys, bigram
         self.strong = np.clip(unigram, -CLIP, CLIP) * reliable
-        self.weights = np.zeros(4)
+        self.weights = np.zeros(3)
 
     def evidence(self, text: str | None) -> np.ndarray:
         """log P_toxic(w | v) - log P_ordinary(w | v) of each word."""
@@ -88,12 +95,11 @@ class Model:
         return np.clip(out, -CLIP, CLIP)
 
     def features(self, text: str | None) -> np.ndarray:
-        """1, the mean evidence of all words, the second strongest distinct word's without its context, and the mean of the three strongest."""
+        """1, the mean evidence of all words, and the power mean of what speaks for label 1."""
         e = self.evidence(text)
         if not len(e):
-            return np.array([1.0, 0.0, 0.0, 0.0])
-        top = np.append(np.sort(self.strong[np.unique(self._at)])[:-4:-1], np.zeros(3))[:3]
-        return np.array([1.0, e.mean(), top[1], top.mean()])
+            return np.array([1.0, 0.0, 0.0])
+        return np.array([1.0, e.mean(), (np.maximum(self.strong[self._at], 0) ** POWER).mean() ** (1 / POWER)])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -50, 50))))
@@ -218,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
     n_classes = len({t for t, _ in counted} & {0, 1}), len({t for t, _ in calibrate} & {0, 1})
     if min(n_classes) < 2:
         model = Model([], np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(1))
-        model.weights = np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0])
+        model.weights = np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0])
         return model
     contexts, total = _contexts(docs, vocabulary, _frequent(vocabulary, counted))
     model = _estimate(vocabulary, counted, contexts, total)
