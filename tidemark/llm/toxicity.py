@@ -106,7 +106,12 @@ class Model:
 
 
 def corpus_counts(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
-    """docs (text) -> a row (word, n, contexts) for every word of all documents: its xxh3, its places and its distinct left words.
+    """docs (text) -> a row (word, n, contexts) for every word of all documents: its xxh3, its places and its distinct left words."""
+    return _part_counts(docs, frequent).groupBy("word").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
+
+
+def _part_counts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
+    """The same, where a frequent word has a row for each of its parts, whose sums are the word's.
 
     Tasks send each word's distinct left words as packed hashes (32 bits, told apart a word); what is equal between tasks
     counts once, exactly but for collisions. frequent (hashes, sorted) are dealt in PARTS by left word, so that no task holds all of one.
@@ -172,12 +177,14 @@ def corpus_counts(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["word", "n", "contexts"])
 
     rows = docs.select("text").mapInArrow(deal, "word long, part int, n long, lefts binary")
-    rows = rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(merged, "word long, n long, contexts long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
+    return rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(merged, "word long, n long, contexts long")
 
 
 def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) -> tuple[np.ndarray, float]:
-    """Distinct left contexts in all documents of each word of the vocabulary, and the sum of contexts + 0.5 over all words there are."""
+    """Distinct left contexts in all documents of each word of the vocabulary, and the sum of contexts + 0.5 over all words there are.
+
+    frequent words are of the vocabulary, so that a word outside it has one part.
+    """
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary)).view(np.int64)
     order = np.argsort(h)
     held = docs.sparkSession.sparkContext.broadcast((h[order], order))
@@ -194,7 +201,7 @@ def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([pa.array([len(known)], pa.int64()), pa.array([others], pa.float64())], names=["id", "contexts"])
 
     out = np.zeros(len(vocabulary) + 1)
-    for t in corpus_counts(docs, frequent).select("word", "contexts").mapInArrow(pick, "id long, contexts double").toArrow().to_batches():
+    for t in _part_counts(docs, frequent).select("word", "contexts").mapInArrow(pick, "id long, contexts double").toArrow().to_batches():
         np.add.at(out, t.column(0).to_numpy(), t.column(1).to_numpy())
     return out[:-1], out.sum() + 0.5 * len(vocabulary)
 
