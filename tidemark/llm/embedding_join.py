@@ -1,7 +1,8 @@
 """Embedding near-duplicates over an inverted multi-index.
 
 The two halves of unit vectors have a codebook each; a pair of codewords is a cell of the product grid,
-and every vector stands in its cell. A vector visits cells in the order of the sum of its two squared
+and every vector stands in its cell. Codebooks grow with the root of the number of vectors, so that a cell holds about
+PER_CELL at any size. A vector visits cells in the order of the sum of its two squared
 codeword distances (multi-sequence traversal), as many as reach the target recall for pairs right at
 the threshold, calibrated on a bounded sample. Visits and members of a cell meet in tiles of bounded
 size, where cosines are computed in double precision.
@@ -13,7 +14,7 @@ Tiles send a count a vector and a star of links a component, never their pairs.
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import Scratch, components, table
 
-#: Codewords a half, vectors of the fitting sample, share of threshold pairs that traversal must reach, members and visits of a tile.
-CODEWORDS, SAMPLE, TARGET_RECALL, TILE = 24, 6000, 0.995, 1024
+#: Vectors a cell holds on average; codewords a half at most; vectors of the fitting sample, and for each codeword; share of
+#: threshold pairs that traversal must reach; members and visits of a tile (cells above it are cut into blocks that all meet).
+PER_CELL, CODEWORDS, SAMPLE, SAMPLE_EACH, TARGET_RECALL, TILE = 64, 2048, 6000, 16, 0.995, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -42,62 +44,74 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)[None, :], 0)
 
 
-def multi_sequence(left: np.ndarray, right: np.ndarray, count: int) -> list[int]:
-    """The first `count` cells (i * len(right) + j) in the order of left[i] + right[j]."""
-    a, b = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
-    agenda, seen, out = [(left[a[0]] + right[b[0]], 0, 0)], {(0, 0)}, []
-    while agenda and len(out) < count:
-        _, i, j = heapq.heappop(agenda)
-        out.append(int(a[i]) * len(right) + int(b[j]))
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < len(b) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(agenda, (left[a[p]] + right[b[q]], p, q))
-    return out
+def multi_sequence(left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
+    """For each row of distances, its first `count` cells (i * right's width + j) in the order of left[i] + right[j].
+
+    A cell of the p-th nearest left and the q-th nearest right codeword comes after (p + 1) (q + 1) - 1 others, so only
+    cells with (p + 1) (q + 1) <= count are reached; they are sorted by their sums, equal ones by (p, q).
+    """
+    count = min(count, left.shape[1] * right.shape[1])
+    a, b = np.argsort(left, axis=1, kind="stable")[:, :count], np.argsort(right, axis=1, kind="stable")[:, :count]
+    p, q = np.array([(p, q) for p in range(a.shape[1]) for q in range(min(b.shape[1], count // (p + 1)))]).T
+    i, j = a[:, p], b[:, q]
+    sums = np.take_along_axis(left, i, 1) + np.take_along_axis(right, j, 1)
+    first = np.argsort(sums, axis=1, kind="stable")[:, :count]
+    return np.take_along_axis(i * right.shape[1] + j, first, 1)
 
 
 class Index:
     """The two codebooks, and how many cells a vector visits."""
 
-    def __init__(self, sample: np.ndarray, min_cosine: float, codewords: int = CODEWORDS, target: float = TARGET_RECALL, seed: int = 7):
+    def __init__(self, sample: np.ndarray, min_cosine: float, codewords: int, target: float = TARGET_RECALL, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.half = sample.shape[1] // 2
-        self.left, self.right = _kmeans(sample[:, : self.half], codewords, rng), _kmeans(sample[:, self.half :], codewords, rng)
+        self.left, self.right = _kmeans(sample[:, : self.half], codewords if self.half else 1, rng), _kmeans(sample[:, self.half :], codewords, rng)
         # neighbours right at the threshold, in random directions: the hardest pairs to reach
         x = sample[rng.choice(len(sample), min(2000, len(sample)), replace=False)]
         step = rng.standard_normal(x.shape)
         step -= (step * x).sum(axis=1, keepdims=True) * x
         step /= np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-12)
         y = min_cosine * x + np.sqrt(max(0.0, 1 - min_cosine**2)) * step
-        own = self.cells(y)
-        ranks = [(r := self.visits(v, len(self.left) * len(self.right))).index(c) + 1 for v, c in zip(x, own, strict=True)]
+        left, right = self._to(x)
+        i, j = np.divmod(self.cells(y), len(self.right))
+        at = np.arange(len(x))
+        own = left[at, i] + right[at, j] + 1e-12
+        right.sort(axis=1)
+        ranks = [int(np.searchsorted(r, s - row, "right").sum()) for row, r, s in zip(left, right, own, strict=True)]
         self.count = max(1, int(np.quantile(ranks, target, method="higher")))
 
+    def _to(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = _distances(x[:, : self.half], self.left) if self.half else np.zeros((len(x), 1))
+        return left, _distances(x[:, self.half :], self.right)
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        i = _distances(x[:, : self.half], self.left).argmin(axis=1) if self.half else np.zeros(len(x), int)
-        return i * len(self.right) + _distances(x[:, self.half :], self.right).argmin(axis=1)
+        left, right = self._to(x)
+        return left.argmin(axis=1) * len(self.right) + right.argmin(axis=1)
 
-    def visits(self, v: np.ndarray, count: int | None = None) -> list[int]:
-        left = _distances(v[None, : self.half], self.left)[0] if self.half else np.zeros(len(self.left))
-        return multi_sequence(left, _distances(v[None, self.half :], self.right)[0], count or self.count)
+    def visits(self, x: np.ndarray) -> np.ndarray:
+        """The cells that each of the vectors visits, its own first."""
+        return multi_sequence(*self._to(x), self.count)
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(rows) -> np.ndarray:
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _fit(nodes: DataFrame, sample: int, min_cosine: float) -> dict[int, Index]:
-    """An index for each dimension, from at most about `sample` nodes of it in all, chosen by hash."""
-    total = nodes.count()
-    chosen = nodes.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30)) + 1)
+def _fit(nodes: DataFrame, min_cosine: float) -> dict[int, Index]:
+    """An index for each dimension with more vectors than a few cells hold, from a bounded sample chosen by hash."""
+    dim = F.size("v").alias("dim")
+    large = nodes.groupBy(dim).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * PER_CELL).collect()
+    words = {r["dim"]: min(CODEWORDS, math.ceil(math.sqrt(r["n"] / PER_CELL))) for r in large}
+    if not words:
+        return {}
+    h = F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for r in large for x in (r["dim"], int(min(1.0, max(SAMPLE, SAMPLE_EACH * words[r["dim"]]) / r["n"]) * (1 << 30)) + 1)])
     by_dim: dict[int, list] = {}
-    for r in chosen.orderBy("node").select("v").toLocalIterator():
+    for r in nodes.where(h < share[F.size("v")]).orderBy("node").select("v").toLocalIterator():
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
-    for r in nodes.groupBy(F.size("v").alias("d")).agg(F.min_by("v", "node").alias("v")).collect():
-        by_dim.setdefault(r["d"], []).append(r["v"])  # a dimension that the sample has missed
-    return {d: Index(_unit(v), min_cosine) for d, v in by_dim.items()}
+    return {d: Index(_unit(v), min_cosine, words[d]) for d, v in by_dim.items()}
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, *, min_cosine: float) -> DataFrame:
@@ -133,19 +147,21 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, *, min_cosine: float) ->
 
 def _links(nodes: DataFrame, scratch: Scratch, min_cosine: float) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, n) of linked rows by tile, and star edges (a, b) between nodes."""
-    spark = nodes.sparkSession
-    index = spark.sparkContext.broadcast(_fit(nodes, SAMPLE, min_cosine))
+    index = nodes.sparkSession.sparkContext.broadcast(_fit(nodes, min_cosine))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            visits = []
-            for row in b.column("v").to_pylist():
-                at = index.value[len(row)]
-                x = _unit([row])
-                own = int(at.cells(x)[0])
-                others = [c for c in at.visits(x[0]) if c != own]
-                visits.append([own, *others])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*b.schema.names, "visits"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                visits: list = [[0]] * b.num_rows  # dimensions without an index have one cell
+                dims = b.column("dim").to_numpy()
+                for d in np.unique(dims).tolist():
+                    if d in index.value:
+                        rows = np.flatnonzero(dims == d)
+                        x = _unit(b.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+                        for n, v in zip(rows.tolist(), index.value[d].visits(x), strict=True):
+                            visits[n] = v
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*b.schema.names, "visits"])
 
     placed = nodes.withColumn("dim", F.size("v"))
     placed = scratch.stage(placed.mapInArrow(place, T.StructType([*placed.schema, T.StructField("visits", T.ArrayType(T.IntegerType()))])))
@@ -160,67 +176,73 @@ def _links(nodes: DataFrame, scratch: Scratch, min_cosine: float) -> tuple[DataF
     rows = rows.withColumn("is_member", F.explode(F.when(F.col("nth") == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     rows = rows.withColumn("block", F.explode(F.when(F.col("is_member"), F.sequence(F.lit(0), F.col("bp") - 1)).otherwise(F.sequence(F.lit(0), F.col("bm") - 1))))
     rows = rows.withColumns({"i": F.when(F.col("is_member"), F.col("i")).otherwise(F.col("block")), "j": F.when(F.col("is_member"), F.col("block")).otherwise(F.col("j"))})
-    tile = [*cell, "i", "j"]
-    rows = rows.select(*tile, "is_member", "k1", "k2", "node", "copies", "v", "visits").repartition(*tile).sortWithinPartitions(*tile)
-
-    def compare(group: list[tuple]) -> Iterator[tuple]:
-        members, visitors = [g for g in group if g[5]], [g for g in group if not g[5]]
-        if not members or not visitors:
-            return
-        x, y = _unit([g[10] for g in visitors]), _unit([g[10] for g in members])
+    tile = [F.xxhash64(*cell, "i", "j").alias("t1"), F.xxhash64(F.lit("second"), "j", "i", *cell).alias("t2")]  # 128 bits tell tiles apart
+    rows = rows.select(*tile, "dim", "cell", "is_member", "k1", "k2", "node", "copies", "v", "visits").repartition("t1", "t2").sortWithinPartitions("t1", "t2", "is_member")
+
+    def compare(c: dict[str, np.ndarray], v: pa.Array, visits: pa.Array) -> list[np.ndarray] | None:
+        """One tile, visitors first: k1, k2, n, a, b of the rows that have links there."""
+        n = int(np.searchsorted(c["is_member"], True))
+        if not 0 < n < len(c["is_member"]):
+            return None
+        x = _unit(v.flatten().to_numpy(zero_copy_only=False).reshape(-1, int(c["dim"][0])))
+        x, y = x[:n], x[n:]
         cosines = x @ y.T
-        own = {(g[6], g[7]): n for n, g in enumerate(members)}
-        for n, g in enumerate(visitors):
-            if (m := own.get((g[6], g[7]))) is not None:
-                cosines[n, m] = -2
+        own = {k: m for m, k in enumerate(zip(c["k1"][n:].tolist(), c["k2"][n:].tolist(), strict=True))}
+        for m, k in enumerate(zip(c["k1"][:n].tolist(), c["k2"][:n].tolist(), strict=True)):
+            if k in own:
+                cosines[m, own[k]] = -2
         p, q = np.nonzero(cosines >= min_cosine)
         if not len(p):
-            return
-        copies_p, copies_q = (np.array([g[9] for g in gs], np.int64) for gs in (visitors, members))
-        here = group[0][2]
-        home = np.array([g[11][0] for g in visitors], np.int64)
-        for_p = np.bincount(p, weights=copies_q[q], minlength=len(visitors)).astype(np.int64)
+            return None
+        copies_p, copies_q = c["copies"][:n], c["copies"][n:]
+        ends = visits.offsets.to_numpy()
+        flat = visits.values.to_numpy()
+        width = int(np.diff(ends).max())
+        cells = np.full((len(ends) - 1, width), -1, np.int32)
+        cells[np.arange(width) < np.diff(ends)[:, None]] = flat[ends[0] : ends[-1]]
+        for_p = np.bincount(p, weights=copies_q[q], minlength=n).astype(np.int64)
         # a member that visits the visitor's cell counts the pair there
-        there = home[p]
-        sets = [frozenset(g[11]) for g in members]
-        lone = np.fromiter((c != here and c not in sets[m] for c, m in zip(there.tolist(), q.tolist(), strict=True)), bool, len(p))
-        for_q = np.bincount(q[lone], weights=copies_p[p[lone]], minlength=len(members)).astype(np.int64)
+        there = cells[:n, 0][p]
+        lone = np.flatnonzero(there != c["cell"][0])
+        lone = np.concatenate([part[~(cells[n:][q[part]] == there[part][:, None]).any(axis=1)] for part in np.array_split(lone, 1 + len(lone) // 100_000)])
+        for_q = np.bincount(q[lone], weights=copies_p[p[lone]], minlength=len(y)).astype(np.int64)
         # stars: labels of the tile's components by repeated minima over its links
-        nodes_p, nodes_q = (np.array([g[8] for g in gs], np.int64) for gs in (visitors, members))
-        low_p, low_q = nodes_p.copy(), nodes_q.copy()
+        low_p, low_q = c["node"][:n].copy(), c["node"][n:].copy()
         while True:
-            before = low_p.sum() + low_q.sum()
+            before = low_p.copy(), low_q.copy()
             np.minimum.at(low_p, p, low_q[q])
             np.minimum.at(low_q, q, low_p[p])
-            if low_p.sum() + low_q.sum() == before:
+            if (before[0] == low_p).all() and (before[1] == low_q).all():
                 break
-        for gs, low, n in ((visitors, low_p, for_p), (members, low_q, for_q)):
-            for g, a, k in zip(gs, low.tolist(), n.tolist(), strict=True):
-                if k or a != g[8]:
-                    yield g[6], g[7], k, a, g[8]
+        count, low = np.append(for_p, for_q), np.append(low_p, low_q)
+        some = (count > 0) | (low != c["node"])
+        return [c["k1"][some], c["k2"][some], count[some], low[some], c["node"][some]]
 
-    names = ["k1", "k2", "n", "a", "b"]
+    names, ints = ["k1", "k2", "n", "a", "b"], ["t1", "t2", "dim", "cell", "is_member", "k1", "k2", "node", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        out: list[tuple] = []
-
-        def flush():
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+        rest: pa.Table | None = None
+
+        def tiles(t: pa.Table, ends: list[int]) -> pa.RecordBatch:
+            cols = {k: t.column(k).to_numpy() for k in ints}
+            v, visits = (t.column(k).combine_chunks() for k in ("v", "visits"))
+            out, start = [], 0
+            for end in ends:
+                found = compare({k: c[start:end] for k, c in cols.items()}, v.slice(start, end - start), visits.slice(start, end - start))
+                out += [found] if found else []
+                start = end
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[o[k] for o in out]]), pa.int64()) for k in range(5)], names=names)
 
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if group and row[:5] != group[0][:5]:
-                    out.extend(compare(group))
-                    group = []
-                    if len(out) > 20_000:
-                        yield flush()
-                        out.clear()
-                group.append(row)
-        if group:
-            out.extend(compare(group))
-        yield flush()
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            t1, t2 = t.column("t1").to_numpy(), t.column("t2").to_numpy()
+            ends = np.flatnonzero((np.diff(t1) != 0) | (np.diff(t2) != 0)) + 1
+            if len(ends):
+                yield tiles(t, ends.tolist())
+            rest = t.slice(ends[-1] if len(ends) else 0).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield tiles(rest, [rest.num_rows])
 
     found = scratch.stage(rows.mapInArrow(run, "k1 long, k2 long, n long, a long, b long"))
     return found.where("n > 0").select("k1", "k2", "n"), found.where("a < b").select("a", "b")
