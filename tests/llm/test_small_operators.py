@@ -88,12 +88,37 @@ def test_warc_round_trip(spark):
         (7, "revisit", 8), (8, "response", None), (None, "response", None),
     }
     assert {r["page_id"]: r["payload"].decode() for r in got if r["payload"] is not None}[9] == big
+    assert Counter(r["url"] for r in got) == Counter(u for _, u, _ in pages)
     again = warc.write_archives(df.repartition(3), f"{uri}-2", roll_bytes=200, shard_bytes=4000)
     assert {r["file"]: r["sha256"] for r in again.collect()} == files
     empty = f"{uri}-3"
     assert warc.write_archives(df.limit(0), empty).count() == 0 and warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_ids_far_apart(spark):
+    """Shards follow sizes wherever ids lie; many rows of one id, or of none, are dealt."""
+    pages = [(i, "u", f"<p>{i}</p>" * 20) for i in [*range(300), 10**12, -(2**63), 2**63 - 1, -9 * 10**18]] + [(7, "u", f"{i}" * 80) for i in range(200)] + [(None, "u", f"n{i}" * 50) for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    uri = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    files = warc.write_archives(df, uri, shard_bytes=20_000).collect()
+    records = Counter()
+    for r in files:
+        records[r["shard"]] += r["records"]
+    assert sum(records.values()) == len(pages) and len(records) > 12 and max(records.values()) < 120
+    got = warc.read_archives(spark, uri).collect()
+    assert Counter((r["page_id"], r["payload"].decode()) for r in got) == Counter((p, h) for p, _, h in pages)
+    assert {(r["file"], r["sha256"]) for r in files} == {(r["file"], r["sha256"]) for r in warc.write_archives(df.repartition(5), f"{uri}-2", shard_bytes=20_000).collect()}
+
+
+def test_warc_records_are_standard():
+    raw = warc.record(5, 0, "http://a", b"<p>x</p>", hashlib.sha1(b"<p>x</p>").hexdigest(), None)
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    assert b"Content-Type: application/http; msgtype=response" in head and rest.startswith(b"HTTP/1.1 200 OK\r\n") and rest.endswith(b"\r\n\r\n<p>x</p>\r\n\r\n")
+    assert warc.parse(raw)["payload"] == b"<p>x</p>" and warc.parse(warc.file_info("f")) is None
+    with pytest.raises(ValueError):
+        warc.parse(raw.replace(b"<p>x</p>", b"<p>y</p>"))
+
+
 # --- HTML -----------------------------------------------------------------------------------------------
 
 ARTICLE = "<h1>Title</h1><p>A long first paragraph with many words, &amp; some <b>bold\n\t text</b>.<p>Short.</p><ul><li>one<li>two</ul><p>Another long one,<br>broken in two.</p>"
