@@ -70,6 +70,17 @@ def test_line_dedup(spark):
     assert scratch.finish(line_dedup.dedup_lines(df.limit(0), scratch)).count() == 0
 
 
+def test_line_dedup_of_long_documents(spark):
+    """Documents that share tens of thousands of lines, and one long line."""
+    lines = [f"a shared line of the long documents {i}" for i in range(20_000)]
+    docs = [(i, "\n".join([f"own {i}", *lines, "own"])) for i in range(3)] + [(9, "z" * 300_000)]
+    scratch = Scratch(spark)
+    got = {r["doc_id"]: r for r in scratch.finish(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS), scratch)).collect()}
+    assert [got[i]["n_dropped"] for i in (0, 1, 2, 9)] == [20_000, 20_000, 0, 0]
+    assert got[0]["kept_text"] == "own 0\nown" and got[2]["kept_text"] == docs[2][1] and got[9]["kept_text"] == docs[3][1]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_run")]
+
+
 # --- WARC -----------------------------------------------------------------------------------------------
 
 
