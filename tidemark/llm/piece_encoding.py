@@ -30,7 +30,7 @@ from tidemark.llm.common import table
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Chunks a worker remembers (about 250 bytes each); beyond it the table starts anew.
-CACHE = 700_000
+CACHE = 400_000
 #: Texts that are encoded together, and of which one is compared with the library.
 TOGETHER = 256
 #: Texts of more characters are not preferred when the one to compare is chosen.

@@ -12,9 +12,9 @@ Bitmaps: a set's hashed bitmap bounds an overlap from above: every bit that one
 lacks is at least one shingle that is not shared. Of the pairs left, those whose bound falls short are
 dropped. Then the sorted shingle arrays of what is left are intersected exactly.
 
-Copies with equal sets are one node. In a tile every node is first compared with the tile's smallest;
-only nodes of a tile that these links leave in different components are compared with each other, in
-blocks, so that a large group of near copies does not make all its pairs.
+Copies with equal sets are one node. Every node is first compared with the smallest nodes of its tiles, the STAR that
+share most tiles with it; only nodes of a tile that these links leave in different components are compared with
+each other, in blocks, so that a large group of near copies does not make all its pairs.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ BITS_EACH, LEAST_BITS = 8, 512
 BAND_RATIO, BLOCK, LEAST = 1.5, 512, 3
 #: The sample for the order: a share of the documents, but so many at least; and its most frequent shingles, broadcast (12 bytes each).
 SAMPLE_SHARE, SAMPLE_DOCS, POPULAR = 0.01, 10_000, 1_000_000
-#: Pairs that a task holds before it sends them.
-HELD = 1 << 19
-_CACHE = 400_000
+#: Smallest nodes of its tiles with which a node is compared first; pairs that a task holds before it sends them.
+STAR, HELD = 3, 1 << 19
+_CACHE = 200_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -329,7 +329,9 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     members = scratch.stage(members)
     sketches = rows.select("doc_id", "n", "bits")
     first = members.where("lo.node < node").groupBy(F.col("lo.node").alias("a"), F.col("node").alias("b"))
-    first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("n", "lo.n")).alias("n")).where(F.col("tiles") >= shared_tiles(F.col("n"), num, den)).select("a", "b")
+    first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("n", "lo.n")).alias("n")).where(F.col("tiles") >= shared_tiles(F.col("n"), num, den))
+    likely = Window.partitionBy("b").orderBy(F.col("tiles").desc(), "a")  # a node is in many tiles, whose smallest nodes differ
+    first = first.withColumn("nth", F.row_number().over(likely)).where(F.col("nth") <= STAR).select("a", "b")
     star = scratch.stage(_bounded(scratch.stage(first), sketches, num, den))
     edges = scratch.stage(_exact(star, docs, words, num, den))
     labels = components(edges, scratch)
