@@ -195,3 +195,28 @@ def test_language(spark):
     assert language_id.predict(rows.limit(0), model).count() == 0
     assert language_id.learn(rows.selectExpr("doc_id", "text", "cast(null as string) AS lang")) == {}
     assert language_id.predict(rows, {}).where("lang_pred <> 'und'").count() == 0
+
+
+def test_language_by_compressed_sizes(spark):
+    """Predictions follow the sizes of frames, compressed here in a plain loop; numerals are no letters; near ties are rejected."""
+    import zstandard
+
+    rnd = random.Random(4)
+    train = [(i, " ".join(rnd.choices(WORDS[lang], k=80)), lang) for i, lang in enumerate(list(WORDS) * 40)] + [(5000 + i, f"wort{i} " * 30, f"l{i}") for i in range(300)]
+    model = language_id.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert len(model) == 303
+    model = {lang: model[lang] for lang in WORDS}
+    texts = [" ".join(rnd.choices(WORDS[rnd.choice(list(WORDS))], k=rnd.randint(1, 900))) for _ in range(60)] + ["½", "10²", "Ⅷ", "①②③", "x"]
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text):
+            assert got[i]["lang_pred"] == "und" and got[i]["lang_rejected"]
+            continue
+        raw, sizes = text.encode(), {}
+        for lang, dictionary in model.items():
+            d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False).compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096))
+        least, second = sorted(sizes.values())[:2]
+        assert sizes[got[i]["lang_pred"]] == least
+        assert got[i]["lang_rejected"] == (second - least < max(2, 0.002 * least))
+    assert got[len(texts) - 1]["lang_rejected"]

@@ -1,25 +1,27 @@
-"""Language ID by compression: one zstandard raw-content dictionary a language; the smallest frame wins."""
+"""Language ID by compression: one zstandard raw-content dictionary a language; the smallest frame wins, unless the next is too near."""
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-#: Bounds of the training sample: bytes of raw content a language, bytes that one document may give, languages.
-DICT_BYTES, DOC_BYTES, MAX_LANGUAGES = 200_000, 400, 256
-#: zstandard level, bytes that are compressed at a time, and the least relative margin of the runner-up's size over the smallest.
-LEVEL, PIECE_BYTES, MIN_MARGIN = 6, 4096, 0.002
+#: Bounds of the training sample: bytes of raw content a language and of all, bytes that one document may give.
+DICT_BYTES, MODEL_BYTES, DOC_BYTES = 200_000, 48 << 20, 400
+#: More values of lang than this are no languages.
+MAX_LANGUAGES = 10_000
+#: zstandard level, bytes that are compressed at a time, and the least margin of the runner-up's size over the smallest: relative, and in bytes.
+LEVEL, PIECE_BYTES, MIN_MARGIN, MIN_BYTES = 6, 4096, 0.002, 2
 _HASH_SPAN = 1 << 30
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def _plain(text: str) -> bytes:
@@ -31,7 +33,8 @@ def learn(docs: DataFrame, *, dict_bytes: int = DICT_BYTES, doc_bytes: int = DOC
     """Raw-content dictionaries by language, most frequent language first, from a bounded sample of docs (doc_id, text, lang).
 
     The sample is by hash of doc_id: twice the documents that fill dict_bytes are expected, each
-    gives doc_bytes at most. Rows without text or lang teach nothing.
+    gives doc_bytes at most, from a place in its whole text that the hash chooses. Rows without text or lang teach
+    nothing. With many languages each has its share of MODEL_BYTES.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_SPAN)))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -39,9 +42,11 @@ def learn(docs: DataFrame, *, dict_bytes: int = DICT_BYTES, doc_bytes: int = DOC
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
+    dict_bytes = min(dict_bytes, MODEL_BYTES // len(counts))
     want = 2 * dict_bytes / doc_bytes
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil(min(1.0, want / n) * _HASH_SPAN))])
-    sample = rows.where(F.col("_h") < share[F.col("lang")]).select("lang", "_h", F.substring("text", 1, 2 * doc_bytes).alias("text"))
+    place = 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - 2 * doc_bytes)).cast("int")
+    sample = rows.where(F.col("_h") < share[F.col("lang")]).select("lang", "_h", F.substring(F.col("text"), place, F.lit(2 * doc_bytes)).alias("text"))
     out: dict[str, dict[bytes, None]] = {lang: {} for lang in counts}
     size = dict.fromkeys(counts, 0)
     for r in sorted(sample.toLocalIterator(), key=lambda r: (r["lang"], r["_h"], r["text"])):
@@ -61,7 +66,7 @@ def _compressors(model: dict[str, bytes], level: int) -> list:
     return out
 
 
-def guess(text: str | None, langs: list[str], compressors: list, min_margin: float) -> tuple[str, float, bool]:
+def guess(text: str | None, langs: list[str], compressors: list, min_margin: float, min_bytes: int) -> tuple[str, float, bool]:
     """(language, score, rejected) of one whole text, compressed piece by piece so that each piece meets the dictionaries."""
     if text is None or not langs or not _LETTER.search(text):
         return "und", 0.0, True
@@ -71,14 +76,14 @@ def guess(text: str | None, langs: list[str], compressors: list, min_margin: flo
     best = sizes.index(min(sizes))
     score = 1 / sum(2.0 ** -min(60, s - sizes[best]) for s in sizes)
     runner_up = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] * 2)
-    return langs[best], score, runner_up - sizes[best] < min_margin * sizes[best]
+    return langs[best], score, runner_up - sizes[best] < max(min_bytes, min_margin * sizes[best])
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], *, level: int = LEVEL, min_margin: float = MIN_MARGIN) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, bytes], *, level: int = LEVEL, min_margin: float = MIN_MARGIN, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs (with text) -> the same rows with lang_pred, lang_score and lang_rejected.
 
-    und, score 0 and rejected: null, empty and letterless texts, or no model. A tie goes to the
-    language with more training rows, and counts as a narrow margin. Each row is judged by itself, from
+    und, score 0 and rejected: null, empty and letterless texts (without a character of category L), or no model. A tie goes to the
+    language with more training rows, and counts as a narrow margin, as does one of fewer than min_bytes: short texts that two languages share. Each row is judged by itself, from
     its whole text; broadcast is the model, at most dict_bytes times the languages.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -88,7 +93,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], *, level: int = LEVEL, min
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, compressors = list(held.value), _compressors(held.value, level)
         for b in batches:
-            found = [guess(t.as_py(), langs, compressors, min_margin) for t in b.column("text")]
+            found = [guess(t.as_py(), langs, compressors, min_margin, min_bytes) for t in b.column("text")]
             cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(fields.types)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + cols, names=names + fields.names)
 
