@@ -38,6 +38,16 @@ def test_chat_merges_adjacent_roles(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_long_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "PART", 64)
+    rows = [(1, t, "assistant" if t % 3 else "user", f"turn {t} </s>" + "é" * (t % 5)) for t in range(3000)] + [(2, 0, "assistant", "x" * 400_000 + "[INST]")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.read_conversations(chat_format.format_conversations(df)).collect()}
+    for conv in (1, 2):
+        assert [(t["role"], t["text"]) for t in got[conv]["turns"]] == [(r, x) for c, _, r, x in rows if c == conv]
+        assert got[conv]["loss_text"] == "".join(x for c, _, r, x in rows if c == conv and r == "assistant")
+
+
 # --- line dedup -----------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
+#: Segments of a conversation whose spans are gathered at a time.
+PART = 256
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 _KEY = r"(?:\|im_(?:start|sep|end)\||/?s|/?INST|<SYS>|</SYS>)[>\]]"
 _PLAIN = rf"([<\[])(\\*)({_KEY})"
@@ -82,18 +84,23 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
             ),
         )
     )
-    empty = F.expr("named_struct('at', 0, 'spans', CAST(array() AS array<struct<start:int,length:int>>))")
-    spans = F.aggregate(
-        segments,
-        empty,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["before"] + s["length"] + s["after"]).alias("at"),
-            F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["before"]).alias("start"), s["length"].alias("length")))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )
-    return convs.select("conv_id", F.array_join(body, "").alias("formatted"), spans["spans"].alias("loss_spans"))
+    # arrays that grow by one are copied each time: they grow within parts of PART segments only
+    convs = convs.select("conv_id", F.array_join(body, "").alias("formatted"), segments.alias("segments"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("segments") - 1) / PART).cast("int")), lambda k: F.slice("segments", k * PART + 1, PART))
+    convs = convs.select("conv_id", "formatted", parts.alias("parts"))
+    lengths = F.transform("parts", lambda part: F.aggregate(part, F.lit(0), lambda n, s: n + s["before"] + s["length"] + s["after"]))
+    convs = convs.select("*", F.aggregate(lengths, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n))).alias("offsets"))
+
+    def spans(part: Column, k: Column) -> Column:
+        empty = F.struct(F.get("offsets", k).alias("at"), F.expr("CAST(array() AS array<struct<start:int,length:int>>)").alias("spans"))
+
+        def add(acc: Column, s: Column) -> Column:
+            span = F.array(F.struct((acc["at"] + s["before"]).alias("start"), s["length"].alias("length")))
+            return F.struct((acc["at"] + s["before"] + s["length"] + s["after"]).alias("at"), F.when(s["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(part, empty, add)["spans"]
+
+    return convs.select("conv_id", "formatted", F.flatten(F.transform("parts", spans)).alias("loss_spans"))
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
