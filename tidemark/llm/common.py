@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.shared import BROADCAST_ROWS, Scratch, components, delete, shared_dir, small
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "components", "delete", "shared_dir", "small", "table"]
+#: Rows of an Arrow batch of whole texts: a worker and its executor hold a few batches each.
+BATCH_ROWS = 1000
+
+__all__ = ["BROADCAST_ROWS", "Scratch", "components", "delete", "shared_dir", "small", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Only the named columns of a table, so that extra columns never reach an operator."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, as it is; from here on, the session's Arrow batches have BATCH_ROWS rows at most. Plans read the setting when they run, so it stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

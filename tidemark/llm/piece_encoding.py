@@ -25,18 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Chunks a worker remembers (about 250 bytes each); beyond it the table starts anew.
-CACHE = 400_000
+#: Chunks in either of the two tables that a worker remembers (about 250 bytes each): when the young one is full, it becomes the old one.
+CACHE = 100_000
 #: Texts that are encoded together, and of which one is compared with the library.
 TOGETHER = 256
 #: Texts of more characters are not preferred when the one to compare is chosen.
 CHECKED_CHARS = 4000
 #: Chunks of up to so many characters are merged in rows of that width, longer ones one by one.
 WIDTHS = (6, 9, 12, 16, 24, 40)
+#: Rows that are merged together, which bounds the arrays of a very long text.
+ROWS = 4096
 NO_PIECE = 1 << 30
 _KEY, _BITS = 1 << 22, 19
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -103,7 +105,7 @@ class Vocabulary:
             by_size.setdefault(next((w for w in WIDTHS if len(t) <= w), 0), []).append(i)
         for width, rows in by_size.items():
             if width:
-                symbols = self._merge_rows([texts[i] for i in rows], width)
+                symbols = [x for at in range(0, len(rows), ROWS) for x in self._merge_rows([texts[i] for i in rows[at : at + ROWS]], width)]
             else:
                 symbols = [self._merge_long(texts[i]) for i in rows]
             for i, s in zip(rows, symbols, strict=True):
@@ -197,6 +199,7 @@ class Encoder:
     def __init__(self, path: str, cache: int = CACHE):
         self.vocabulary, self.limit = Vocabulary(path), cache
         self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def learn(self, new: list[str]) -> None:
         ids = self.vocabulary.merge_all([c.replace(" ", SPACE) if c[:1] == "\n" else SPACE + c.replace(" ", SPACE) for c in new])
@@ -205,10 +208,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
         """(ids, ids as text) of each text."""
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         parts = [chunks(t or "") for t in texts]
-        known = self.known
-        if new := list({c for p in parts for c in p if c not in known}):
+        known, old = self.known, self.old
+        missing = {c for p in parts for c in p if c not in known}
+        known.update((c, old[c]) for c in missing if c in old)
+        if new := [c for c in missing if c not in old]:
             self.learn(new)
         end = str(self.vocabulary.end)
         out = []
@@ -264,7 +269,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, with_ids: bool
     schema = docs.select(*names).schema
     for name, kind, _ in added:
         schema = schema.add(name, kind)
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, components, small, table
+from tidemark.llm.common import Scratch, components, small, small_batches, table
 
 #: A bitmap has so many bits for each shingle, rounded up to a power of two; fuller ones bound too little.
 BITS_EACH, LEAST_BITS = 8, 512
@@ -316,7 +316,7 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     are linked. Rows that share a doc_id are one document: what links one of them links all.
     Rows without a doc_id are left out. Shingles and sets are compared by 64- and 128-bit hashes.
     """
-    docs = docs.where("doc_id IS NOT NULL")
+    docs = small_batches(docs).where("doc_id IS NOT NULL")
     rows = scratch.stage(_profiles(docs, words, num, den, _popular(docs, words, scratch)))
     light = rows.select("doc_id", "n", "k1", "k2")
     own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 #: Bounds of the labelled sample: documents and bytes a class that are expected, bytes of one document; one in CALIBRATE calibrates, the others are counted.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT, CALIBRATE = 4000, 64 << 20, 8 << 20, 4
@@ -176,7 +176,7 @@ def _part_counts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     def done(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["word", "n", "contexts"])
 
-    rows = docs.select("text").mapInArrow(deal, "word long, part int, n long, lefts binary")
+    rows = small_batches(docs).select("text").mapInArrow(deal, "word long, part int, n long, lefts binary")
     return rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(merged, "word long, n long, contexts long")
 
 
@@ -309,7 +309,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             scores = pa.array([m.score(t.as_py()) for t in b.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], scores], names=[*names, "toxic_score"])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add("toxic_score", "double"))
+    return small_batches(docs).mapInArrow(run, docs.select(*names).schema.add("toxic_score", "double"))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

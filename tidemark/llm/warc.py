@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, delete, shared_dir, table
+from tidemark.llm.common import Scratch, delete, shared_dir, small_batches, table
 
 MIN_REVISIT_BYTES, ROLL_BYTES, SHARD_BYTES = 1000, 8 << 20, 24 << 20
 #: Shards are larger than SHARD_BYTES where there would be more of them than this (from 1.5 TB on): the driver holds their bounds.
@@ -176,7 +176,7 @@ def write_archives(pages: DataFrame, uri: str, *, min_revisit_bytes: int = MIN_R
     share page_id and payload are records of their own, in one shard. Rows without page_id come first and are
     responses. A page of any length is one record, held in memory by its task. No rows give an empty manifest.
     """
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     payload = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     scratch = Scratch(spark)
