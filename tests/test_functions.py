@@ -86,3 +86,34 @@ def test_boundary(spark):
     assert row[0]["evidence_hash"] == hashlib.sha256(json.dumps(obj, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     s = boundary.summary(judged, "batch").first()
     assert (s["accepted_count"], s["rejected_count"], s["rejection_reasons_summary"]["invalid_price"]) == (2, 8, 2)
+
+
+def test_iso_texts_in_any_session_zone(spark):
+    """Texts that name no zone are UTC, whatever the session's zone is; compact and week dates as datetime.fromisoformat reads them."""
+    from datetime import UTC, datetime
+
+    from tidemark.functions import scalars
+
+    texts = [
+        "2023-11-14T22:13:19", "20231114T221319", "2023-11-14 22:13", "2023-11-14", "20231114", "2023-11-14T22:13:19.999999", "2023-11-14T22:13:19,5", "2023-11-14T22", "20231114T2213",
+        "2023-11-14T22:13:19Z", "2023-11-14T22:13:19+02:00", "2023-11-14T22:13:19-0530", "2023-11-14T221319+02", "2023-11-14T22:13:19+01:02:03", "2023-W46-2", "2023W462T10:11:12", "2023-W46", "2020-W53-7", "2021-W01-1", "1969-12-31T23:59:58.5",
+        "2023-02-29", "2023-13-01", "2023-11-14T25:00", "2023-11-14T22:60", "2021-W53-1", "2023-W00-1", "2023-W46-8", "2023-11-1", "2023/11/14", "14.11.2023", "2023-1114", "2023-11-14T22:13:19+25:00", "2023-11-14T22:1319", "2023-11-14T22:13:19 UTC", "soon", "T22:13", "2024-02-29T00:00:00",
+    ]
+
+    def want(text):
+        if text.isdecimal():
+            return int(text)  # a number is one before it may be a compact date
+        try:
+            t = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return int((t if t.tzinfo else t.replace(tzinfo=UTC)).timestamp() // 1)
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.canonical_timestamp(F.col("t"), 2_000_000_000).alias("s")).collect()
+            assert {r["t"]: r["s"] for r in rows} == {t: want(t) for t in texts}, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

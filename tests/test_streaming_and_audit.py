@@ -9,18 +9,57 @@ from tests.test_evaluation import CASES, NOW
 
 def test_queue(spark, tmp_path):
     base = str(tmp_path / "queue")
-    good = jobs.enqueue(spark, base, CASES["uniform_market"], NOW, job_id="good")
-    jobs.enqueue(spark, base, [{"price": -1}], NOW, job_id="refused")
-    jobs.enqueue(spark, base, [], NOW, job_id="empty")
-    jobs.enqueue(spark, base, [], NOW, "NONE", job_id="bad profile")
-    spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(f"{base}/pending")
+    good = jobs.enqueue(base, CASES["uniform_market"], NOW, job_id="good")
+    jobs.enqueue(base, [{"price": -1}], NOW, job_id="refused")
+    jobs.enqueue(base, [], NOW, job_id="empty")
+    jobs.enqueue(base, [], NOW, "NONE", job_id="bad profile")
+    jobs.enqueue(base, [], None, job_id="no time")
+    # as another program writes it: indented, with an unknown field
+    job = {"job_id": "published", "created_at": 5.5, "payload": {"observations": CASES["uniform_market"], "current_time_utc": NOW, "applied_profile": "HARDENED", "extra": [1, {"a": None}]}}
+    (tmp_path / "queue" / "pending" / "published.json").write_text(json.dumps(job, indent=2) + "\n")
+    (tmp_path / "queue" / "pending" / "broken.json").write_text("{not json")
+    assert {r["job"] for r in jobs.pending(spark, base).collect()} == {"good", "refused", "empty", "bad profile", "no time", "published", "broken"}
     jobs.run(spark, base, common_rules(spark)).awaitTermination(300)
-    done = {r["job_id"]: r["result"] for r in spark.read.json(f"{base}/completed").collect()}
-    failed = {r["job_id"]: r["error"] for r in spark.read.json(f"{base}/failed").collect()}
-    assert set(done) == {good, "refused", "empty"} and failed == {"bad profile": "unknown profile", None: "unreadable job"}
-    assert (done[good]["record"]["P_ref"], done[good]["accepted_count"]) == (101.0, 5)
-    assert done["refused"]["record"]["integrity_status"] == "COLD_START" and done["refused"]["rejected_count"] == 1
-    assert done["empty"]["record"]["cold_start_flag"]
+    read = lambda folder: {p.stem: json.loads(p.read_text()) for p in (tmp_path / "queue" / folder).glob("*.json")}
+    done, failed = read("completed"), read("failed")
+    assert set(done) == {good, "refused", "empty", "published"}
+    assert {k: (v["error"], v["status"], v["error_details"]["exception_type"]) for k, v in failed.items()} == {
+        "bad profile": ("Invalid profile: NONE", "failed", "ValueError"),
+        "no time": ("Missing current_time_utc in job payload", "failed", "ValueError"),
+        "broken": ("unreadable job", "failed", "JSONDecodeError"),
+    }
+    assert set(failed["no time"]) == {"job_id", "created_at", "failed_at", "status", "error", "error_details", "original_payload"}
+    assert failed["bad profile"]["original_payload"] == {"observations": [], "current_time_utc": NOW, "applied_profile": "NONE", "metadata": None}
+    assert list(done[good]) == ["job_id", "created_at", "completed_at", "status", "result"] and done[good]["status"] == "completed"
+    result = done[good]["result"]
+    assert list(result) == ["status", "protocol_version", "constants_version", "applied_profile", "accepted_count", "rejected_count", "rejection_reasons_summary", "result"]
+    assert (result["status"], result["result"]["P_ref"], result["accepted_count"], result["rejection_reasons_summary"]) == ("ok", 101.0, 5, {})
+    assert done["refused"]["result"]["result"]["integrity_status"] == "COLD_START" and done["refused"]["result"]["rejection_reasons_summary"] == {"invalid_price": 1}
+    assert done["empty"]["result"]["result"]["cold_start_flag"] and done["empty"]["result"]["accepted_count"] == 0
+    assert done["published"]["created_at"] == 5.5 and done["published"]["result"]["applied_profile"] == "HARDENED"
+    assert jobs.pending(spark, base).count() == 0
+
+
+def test_jobs_of_many_times_are_one_plan(spark, monkeypatch):
+    from tidemark.plans import evaluation
+
+    plans = []
+    monkeypatch.setattr(jobs, "respond", lambda *a: plans.append(1) or evaluation.respond(*a))
+    files = [(json.dumps({"job_id": f"j{i}", "created_at": 1.0, "payload": {"observations": CASES["uniform_market"], "current_time_utc": NOW + i, "applied_profile": "BASE"}}), f"j{i}.json") for i in range(30)]
+    done, _ = jobs.process(jobs._jobs(spark.createDataFrame(files, "value string, file string")), common_rules(spark))
+    got = {r["name"]: json.loads(r["json"])["result"]["result"]["P_ref"] for r in done.collect()}
+    assert len(plans) == 1 and got == {f"j{i}": 101.0 for i in range(30)}
+
+
+def test_request_and_ingest(spark, tmp_path):
+    from tidemark.plans import service
+
+    request = {"observations": CASES["uniform_market"] + [{"price": "x"}], "current_time_utc": NOW, "applied_profile": "BASE"}
+    got = service.evaluate_request(spark, request, common_rules(spark))
+    assert (got["status"], got["accepted_count"], got["rejected_count"], got["result"]["P_ref"]) == ("ok", 5, 1, 101.0)
+    taken = jobs.ingest(str(tmp_path), request)
+    assert (taken["status"], taken["observations_count"]) == ("ok", 6)
+    assert json.loads((tmp_path / "pending" / f"{taken['job_id']}.json").read_text())["payload"]["current_time_utc"] == NOW
 
 
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
@@ -51,3 +90,30 @@ def test_hashes_and_differences(spark, tmp_path):
     assert got == {"a": "PASS", "b.c": "MISMATCH", "b.d": "PASS", "x": "MISSING_ACTUAL", "y": "MISSING_EXPECTED"}
     found = {(r["version"], r["kind"], r["n"]) for r in audit.versions(spark.createDataFrame([("v0.6.0 and 0.6 and PSL-2026-01-01, 0.6.0",)], "text string")).collect()}
     assert found == {("0.6.0", "semantic", 2), ("0.6", "document", 1), ("PSL-2026-01-01", "snapshot", 1)}
+
+
+def test_deep_differences_and_versions(spark):
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "list": [1, {"x": 2}], "empty": {}, "text": "t", "none": None}
+    got = {r["key"]: r["value"] for r in audit.flatten_json(spark.createDataFrame([(json.dumps(deep),)], "json string")).collect()}
+    assert got == {"a.b.c.d.e.f": "1", "list": '[1,{"x":2}]', "empty": "{}", "text": "t", "none": None}
+    say = lambda *texts: audit.version_consistency(audit.versions(spark.createDataFrame([(t,) for t in texts], "text string"))).first()
+    assert tuple(say("v0.6.0", "0.6")) == (True, True, True)
+    assert tuple(say("0.6.0 0.6.1", "0.7")) == (False, False, False)
+
+
+def test_conformance_checks(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "sub" / "b.txt").write_text("y")
+    files = audit.manifest(audit.file_hashes(spark, f"{tmp_path}/**/*.txt").union(audit.file_hashes(spark, f"{tmp_path}/*.txt")).distinct(), str(tmp_path))
+    registered = spark.createDataFrame([("a.txt", hashlib.sha256(b"x").hexdigest()), ("sub/b.txt", "0"), ("gone.txt", "1")], "file string, sha256 string")
+    assert {r["check"]: r["status"] for r in audit.check_hashes(registered, files).collect()} == {"hash:a.txt": "PASS", "hash:sub/b.txt": "FAIL", "hash:gone.txt": "FAIL"}
+    assert {r["check"]: r["status"] for r in audit.check_presence(registered.select("file"), files, "file").collect()} == {"present:a.txt": "PASS", "present:sub/b.txt": "PASS", "present:gone.txt": "FAIL"}
+    registry = spark.createDataFrame([('{"protocol_version": "0.6.0"}',)], "json string")
+    assert {r["check"]: r["status"] for r in audit.check_fields(registry, ["protocol_version", "source_files"]).collect()} == {"field:protocol_version": "PASS", "field:source_files": "FAIL"}
+    pairs = lambda *rows: spark.createDataFrame(rows, "name string, version string")
+    got = audit.check_versions(pairs(("p", "0.6.0"), ("c", "0.6.0")), pairs(("spec", "0.6"), ("old", "0.5")), pairs(("psl", "PSL-2026-01-01"), ("bad", "2026")))
+    assert {r["check"]: r["status"] for r in got.collect()} == {
+        "versions:code": "PASS", "versions:document:spec": "PASS", "versions:document:old": "WARN", "versions:snapshot:psl": "PASS", "versions:snapshot:bad": "WARN",
+    }
+    assert {r["status"]: r["n"] for r in audit.report(got).collect()} == {"PASS": 3, "WARN": 2}

@@ -38,13 +38,49 @@ def extract_host(url: Column) -> Column:
     return F.nullif(F.lower(F.btrim(host, F.lit(_BLANKS))), F.lit(""))
 
 
+_TIME = r"(?:.(\d{2})(?:(:?)(\d{2})(?:\%d(\d{2})(?:[.,]\d+)?)?)?(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$"
+_DATE_TIME = r"^(\d{4})(-?)(\d{2})\2(\d{2})" + _TIME % 6
+_WEEK_TIME = r"^(\d{4})(-?)W(\d{2})(?:\2(\d))?" + _TIME % 6
+
+
+def _let(values: list[Column], f) -> Column:
+    """f of values that are computed once."""
+    return F.get(F.transform(F.array(F.array(*values)), lambda v: f(*[v[i] for i in range(len(values))])), 0)
+
+
+def _seconds_of(year, month, day, week, weekday, hour, minute, second, zone) -> Column:
+    """Epoch seconds of texts of a date and a time; null if there is no such date or time."""
+    days = lambda m, d: F.unix_date(F.concat_ws("-", year, m, d).try_cast("date")).cast("long")
+    # week 1 holds January 4; a week belongs to the year of its Thursday
+    fourth = days(F.lit("01"), F.lit("04"))
+    thursday = fourth - F.pmod(fourth + 3, F.lit(7)) + (week.cast("long") - 1) * 7 + 3
+    real = weekday.between("1", "7") & (week > "00") & (F.year(F.date_from_unix_date(thursday.cast("int"))) == year.cast("int"))
+    date = F.when(week == "", days(month, day)).when(real, thursday - 4 + weekday.cast("long"))
+    digits = F.rpad(F.regexp_replace(F.substr(zone, F.lit(2)), ":", ""), 6, "0")
+    offset = sum(F.substring(digits, i, 2).cast("long") * n for i, n in ((1, 3600), (3, 60), (5, 1)))
+    whole = (F.substring(digits, 1, 2) < "24") & (F.substring(digits, 3, 2) < "60") & (F.substring(digits, 5, 2) < "60")
+    offset = F.when(zone.isin("", "Z"), F.lit(0).cast("long")).when(whole, F.when(F.substring(zone, 1, 1) == "-", -offset).otherwise(offset))
+    at = hour.cast("long") * 3600 + minute.cast("long") * 60 + second.cast("long")
+    return F.when((hour < "24") & (minute < "60") & (second < "60"), date * 86400 + at - offset)
+
+
+def iso_seconds(text: Column) -> Column:
+    """Epoch seconds of an ISO-8601 date or date and time, extended or compact, by month or week; UTC if it names no zone, whatever the session's is. Null if none."""
+    def parse(pattern: str, date, at: Column) -> Column:
+        part = lambda k, none="": F.coalesce(F.nullif(F.regexp_extract(at, pattern, k), F.lit("")), F.lit(none))
+        return F.when(at.rlike(pattern), _let([*date(part), part(5, "00"), part(7, "00"), part(8, "00"), part(9)], _seconds_of))
+
+    by_month = lambda part: [part(1), part(3), part(4), F.lit(""), F.lit("")]
+    by_week = lambda part: [part(1), F.lit(""), F.lit(""), part(3), part(4, "1")]
+    return _let([text], lambda at: F.coalesce(parse(_DATE_TIME, by_month, at), parse(_WEEK_TIME, by_week, at)))
+
+
 def canonical_timestamp(c: Column, now: Column | int) -> Column:
     """Epoch seconds, floored, of a number or an ISO-8601 text (UTC if it names no zone); null if neither or beyond now."""
     text = F.btrim(c.cast("string"), F.lit(_BLANKS))
-    number = F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
+    number = text.try_cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 9.2e18)
-    iso = F.unix_seconds(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text)))
-    ts = F.when(finite, F.floor(F.when(finite, number)).cast("long")).when(number.isNull(), iso)
+    ts = F.when(finite, F.floor(F.when(finite, number)).cast("long")).when(number.isNull(), iso_seconds(text))
     now = F.lit(now) if isinstance(now, int) else now
     return F.when(ts <= now + FUTURE_SECONDS, ts)
 

@@ -37,13 +37,21 @@ def report(checks: DataFrame) -> DataFrame:
 
 
 def flatten_json(rows: DataFrame, text: str = "json") -> DataFrame:
-    """(key, value) of a JSON object's leaves, keys joined by dots, three levels deep; deeper values stay JSON."""
-    level = rows.select(F.explode(F.from_json(text, "map<string,string>")).alias("key", "value"))
-    for _ in range(2):
-        nested = F.col("value").startswith("{")
-        inner = level.where(nested).select(F.col("key").alias("up"), F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        level = level.where(~nested | F.col("value").isNull()).unionByName(inner.select(F.concat_ws(".", "up", "k").alias("key"), "value"))
-    return level
+    """(key, value) of a JSON object's leaves, keys joined by dots, at any depth; lists and empty objects are leaves and stay JSON."""
+    leaf = "STRUCT<key: STRING, value: VARIANT>"
+    level = rows.select(F.lit("").alias("up"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
+    found = None
+    while True:
+        # one level a round, as many as the documents are deep
+        inner = level.select("up", F.explode(F.expr(f"CAST(map_entries(TRY_CAST(v AS MAP<STRING, VARIANT>)) AS ARRAY<{leaf}>)")).alias("e"))
+        inner = inner.select(F.concat("up", F.when(F.col("up") == "", "").otherwise("."), F.col("e.key")).alias("key"), F.col("e.value").alias("v"))
+        nested = F.coalesce(F.expr("schema_of_variant(v) LIKE 'OBJECT<_%>'"), F.lit(False))
+        flat = inner.where(~nested).select("key", F.expr("CASE WHEN schema_of_variant(v) = 'VOID' THEN NULL ELSE to_json(v) END").alias("value"))
+        flat = flat.withColumn("value", F.regexp_replace("value", r'^"(.*)"$', "$1"))
+        found = flat if found is None else found.unionByName(flat)
+        level = inner.where(nested).select(F.col("key").alias("up"), "v")
+        if not level.limit(1).count():
+            return found
 
 
 def versions(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -51,3 +59,50 @@ def versions(texts: DataFrame, text: str = "text") -> DataFrame:
     found = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"\b(?:PSL-\d{4}-\d{2}-\d{2}|v?\d+\.\d+(?:\.\d+)?)\b"), F.lit(0))).alias("found"))
     kind = F.when(F.col("found").startswith("PSL-"), "snapshot").when(F.col("found").rlike(r"^v?\d+\.\d+\.\d+$"), "semantic").otherwise("document")
     return found.select(F.regexp_replace("found", "^v", "").alias("version"), kind.alias("kind")).groupBy("version", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def version_consistency(found: DataFrame) -> DataFrame:
+    """versions() -> one row (semver_consistent, doc_to_semver_mapping_valid, is_consistent): one semantic version at most, and one for each document version X.Y, as X.Y.Z."""
+    semantic = found.where("kind = 'semantic'").select("version").distinct()
+    documents = found.where("kind = 'document'").select("version").distinct()
+    unmapped = documents.join(semantic.select(F.regexp_extract("version", r"^(\d+\.\d+)\.", 1).alias("version")).distinct(), "version", "left_anti")
+    flags = semantic.select(F.lit(1).alias("semantic"), F.lit(0).alias("unmapped")).union(unmapped.select(F.lit(0), F.lit(1)))
+    out = flags.agg((F.coalesce(F.sum("semantic"), F.lit(0)) <= 1).alias("semver_consistent"), (F.coalesce(F.sum("unmapped"), F.lit(0)) == 0).alias("doc_to_semver_mapping_valid"))
+    return out.withColumn("is_consistent", F.col("semver_consistent") & F.col("doc_to_semver_mapping_valid"))
+
+
+def manifest(files: DataFrame, root: str) -> DataFrame:
+    """file_hashes() -> (file, sha256) with names relative to a root folder."""
+    return files.select(F.regexp_replace(F.substring_index("path", f"{root.rstrip('/')}/", -1), "^/", "").alias("file"), "sha256")
+
+
+def check_presence(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """(check, status) of each required name: PASS if it is present, FAIL if not."""
+    seen = present.select(F.col(key).alias("_key")).distinct().withColumn("_seen", F.lit(True))
+    out = required.join(seen, required[key] == seen["_key"], "left")
+    return out.select(F.concat(F.lit("present:"), F.col(key)).alias("check"), F.when(F.col("_seen"), "PASS").otherwise("FAIL").alias("status"))
+
+
+def check_hashes(registered: DataFrame, actual: DataFrame) -> DataFrame:
+    """(check, status) of each registered (file, sha256): PASS if the file has that hash, FAIL if another one or none."""
+    status = F.when(F.col("status") == "PASS", "PASS").otherwise("FAIL").alias("status")
+    rows = compare(registered, actual, "file", "sha256").where("status <> 'MISSING_EXPECTED'")
+    return rows.select(F.concat(F.lit("hash:"), F.col("file")).alias("check"), status)
+
+
+def check_fields(registry: DataFrame, fields: list[str], text: str = "json") -> DataFrame:
+    """(check, status) of the top-level fields that a registry document must have."""
+    names = F.coalesce(F.json_object_keys(text), F.array())
+    return registry.select(F.explode(F.array(*[F.struct(F.lit(f"field:{f}").alias("check"), F.when(F.array_contains(names, f), "PASS").otherwise("FAIL").alias("status")) for f in fields])).alias("c")).select("c.*")
+
+
+def check_versions(code: DataFrame, documents: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(check, status) of version texts: code versions (name, version) are one semantic version; documents' X.Y map to it, else WARN; snapshots are named PSL- and a date, else WARN."""
+    seen = code.agg(F.count_distinct("version").alias("n"), F.bool_and(F.col("version").rlike(r"^\d+\.\d+\.\d+$")).alias("ok"))
+    one = seen.select(F.lit("versions:code").alias("check"), F.when((F.col("n") == 1) & F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
+    known = code.select(F.regexp_extract("version", r"^(\d+\.\d+)\.", 1).alias("version")).distinct().withColumn("_known", F.lit(True))
+    mapped = documents.join(known, "version", "left").select(
+        F.concat(F.lit("versions:document:"), F.col("name")).alias("check"), F.when(F.col("_known"), "PASS").otherwise("WARN").alias("status")
+    )
+    dated = snapshots.select(F.concat(F.lit("versions:snapshot:"), F.col("name")).alias("check"), F.when(F.col("version").rlike(r"^PSL-\d{4}-\d{2}-\d{2}$"), "PASS").otherwise("WARN").alias("status"))
+    return one.unionByName(mapped).unionByName(dated)

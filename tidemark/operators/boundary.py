@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -11,9 +11,11 @@ from tidemark.schema import PIL_FIELDS
 
 #: In the order in which they are checked.
 REASONS = ["invalid_price", "missing_currency", "missing_region", "invalid_domain", "invalid_merchant_id", "invalid_timestamp", "missing_pil"]
+#: A reason that records may name, for faults that no check tells apart; none is left here, as rows are judged column by column.
+OTHER_REASON = "normalization_error"
 
 
-def judge(raw: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+def judge(raw: DataFrame, rules: DataFrame, now: int | Column) -> DataFrame:
     """raw (the columns of RAW_OBSERVATION and any others) -> normalized columns and `reason`, null where accepted.
 
     A URL without a host falls back to the row's domain_id, normalized but not cut to its root.

@@ -34,9 +34,24 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str = "price", weig
     return found.select(*keys, F.coalesce("m", "last").alias("median"))
 
 
+def median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the median of the values, of an even number the mean of the two in the middle; sliced as in weighted_median."""
+    live = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("w"))
+    cuts = live.groupBy(*keys).agg(F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 200).alias("cuts"), F.sum("w").alias("total"))
+    sliced = live.join(cuts, keys).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    order = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sliced.groupBy(*keys, "slice").agg(F.sum("w").alias("w"), F.first("total").alias("total")).withColumn("upto", F.sum("w").over(order))
+    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    held = sums.where((F.col("upto") >= lower) & (F.col("upto") - F.col("w") < upper)).select(*keys, "slice", (F.col("upto") - F.col("w")).alias("below"))
+    running = Window.partitionBy(*keys, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = sliced.join(held, [*keys, "slice"]).withColumn("upto", F.col("below") + F.sum("w").over(running))
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(value)))
+    return inside.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(name))
+
+
 def deviations(rows: DataFrame, center: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(keys, name): the median distance of prices from the bucket's center (keys, median)."""
-    return rows.join(center, keys).groupBy(*keys).agg(F.median(F.abs(F.col("price") - F.col("median"))).alias(name))
+    return median(rows.join(center, keys).select(*keys, F.abs(F.col("price") - F.col("median")).alias("_distance")), keys, "_distance", name)
 
 
 def inliers(rows: DataFrame, center: DataFrame, keys: list[str], p: Profile) -> DataFrame:

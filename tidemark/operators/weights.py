@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.profiles import BASELINE_WINDOWS, ESTABLISHED_WINDOWS, WINDOW_SECONDS, Profile
 
 
-def temporal(rows: DataFrame, now: int, p: Profile) -> DataFrame:
+def temporal(rows: DataFrame, now: int | Column, p: Profile) -> DataFrame:
     """Rows of age 0 to max_age, with age, window_index and W_time."""
     age = (F.lit(now) - F.col("timestamp")).cast("long")
     rows = rows.withColumn("age", age).where((F.col("age") >= 0) & (F.col("age") <= p.max_age))

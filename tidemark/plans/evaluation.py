@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import round6
-from tidemark.operators import robust, scope, similarity, weights
+from tidemark.operators import boundary, robust, scope, similarity, weights
 from tidemark.profiles import BASE, COLLAPSE_LOSS, CONSTANTS_VERSION, PROTOCOL_VERSION, Profile
 from tidemark.schema import RESULT
 from tidemark.shared import Scratch
@@ -19,17 +19,18 @@ class Evaluation:
 
     observations: the columns of keys, idx (order of arrival, unique within a bucket), domain_id,
     merchant_id, price, currency, timestamp, region and pil, all of accepted rows.
+    now: epoch seconds, or a column of the observations, the same for all rows of a bucket.
     buckets: rows with the keys of all buckets that get a record, if some may have no accepted row.
     """
 
-    def __init__(self, observations: DataFrame, keys: list[str], now: int, profile: Profile = BASE, scratch: Scratch | None = None, buckets: DataFrame | None = None):
+    def __init__(self, observations: DataFrame, keys: list[str], now: int | Column, profile: Profile = BASE, scratch: Scratch | None = None, buckets: DataFrame | None = None):
         self.buckets = buckets
         self.observations, self.keys, self.now, self.profile = observations, keys, now, profile
         self.scratch = scratch or Scratch(observations.sparkSession)
 
     @cached_property
     def scopes(self) -> DataFrame:
-        return scope.resolve(self.observations, self.keys)
+        return self.scratch.stage(scope.resolve(self.observations, self.keys))
 
     @cached_property
     def scoped(self) -> DataFrame:
@@ -45,7 +46,7 @@ class Evaluation:
 
     @cached_property
     def bursts(self) -> DataFrame:
-        return weights.bursts(self.window_counts, self.keys, self.profile)
+        return self.scratch.stage(weights.bursts(self.window_counts, self.keys, self.profile))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -153,7 +154,21 @@ class Evaluation:
         return out.select(*k, *[c.alias(n) for c, n in zip(columns, RESULT, strict=True)], display.alias("display_text"), round6(F.col("lost")).alias("cluster_loss"))
 
 
-def evaluate(observations: DataFrame, keys: list[str], now: int, profile: Profile = BASE, buckets: DataFrame | None = None) -> DataFrame:
+def evaluate(observations: DataFrame, keys: list[str], now: int | Column, profile: Profile = BASE, buckets: DataFrame | None = None) -> DataFrame:
     """(keys, the columns of RESULT), cut off from the intermediate tables."""
     e = Evaluation(observations, keys, now, profile, buckets=buckets)
     return e.scratch.finish(e.result.select(*keys, *RESULT))
+
+
+def respond(raw: DataFrame, rules: DataFrame, keys: list[str], now: int | Column, profile: Profile, buckets: DataFrame) -> DataFrame:
+    """(keys, response) of every bucket: counts of accepted and refused raw observations, reasons, and the record under `result`."""
+    judged = boundary.judge(raw, rules, now)
+    records = evaluate(boundary.accepted(judged), keys, now, profile, buckets)
+    out = buckets.select(*keys).distinct().join(boundary.summary(judged, *keys), keys, "left").join(records, keys)
+    none = F.expr("CAST(map() AS map<string,bigint>)")
+    response = F.struct(
+        F.lit("ok").alias("status"), "protocol_version", "constants_version", "applied_profile",
+        F.coalesce("accepted_count", F.lit(0)).alias("accepted_count"), F.coalesce("rejected_count", F.lit(0)).alias("rejected_count"),
+        F.coalesce("rejection_reasons_summary", none).alias("rejection_reasons_summary"), F.struct(*RESULT).alias("result"),
+    )
+    return out.select(*keys, response.alias("response"))

@@ -6,18 +6,25 @@ as price; and lineitems: a bucket for each brand, a domain for each supplier, pr
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.domains import common_rules, url_roots
+from tidemark.functions.domains import common_rules, root_domains, url_roots
 from tidemark.operators import audit, boundary, similarity
 from tidemark.plans import client
-from tidemark.plans.evaluation import Evaluation, evaluate
+from tidemark.plans.evaluation import Evaluation, evaluate, respond
 from tidemark.profiles import BASE, HARDENED, Profile
 from tidemark.schema import PIL_FIELDS, RESULT
+from tidemark.shared import Scratch, delete, shared_dir
+from tidemark.sources import config
+from tidemark.sources.files import write_documents
+from tidemark.sources.json_io import read_batches, record_json
+from tidemark.streaming import jobs
 
 NOW, LINE_NOW = 1_706_659_200, 1_004_918_400
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +81,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 4, F.repeat(F.lit("m"), 257)).otherwise(F.concat(F.lit(" M"), user, F.lit("\t"))).alias("merchant_id"),
         F.when(k == 0, "-1").when(k == 7, "inf").when(k == 8, "n/a").otherwise(F.col("value").cast("string")).alias("price"),
         F.when(k == 1, " ").otherwise("USD").alias("currency"), F.when(k == 2, F.lit(None)).otherwise("us").alias("region"),
-        F.when(k == 5, "soon").when(k == 9, F.lit(str(NOW + 6))).when(k == 10, F.concat(at.cast("string"), F.lit(".75"))).when(k == 11, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise(at.cast("string")).alias("timestamp"),
+        F.when(k == 5, "soon").when(k == 9, F.lit(str(NOW + 6))).when(k == 10, F.concat(at.cast("string"), F.lit(".75"))).when(k == 11, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        .when(k == 12, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")).when(k == 13, F.date_format("ts", "yyyyMMdd'T'HHmmss")).when(k == 14, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))).otherwise(at.cast("string")).alias("timestamp"),
         F.when(k != 6, pil).alias("product_identity_layer"),
     )
 
@@ -310,9 +318,9 @@ sg AS (SELECT event_id, ppi, CASE WHEN ppi IS NULL THEN 'NO_DATA' WHEN ppi <= -0
 )
 
 
-@query("client_signal", _SIGNALS + "SELECT event_id, round_even(ppi, 6) AS ppi, signal, overlay, reduced_identity_scope FROM sg")
+@query("client_signal", _SIGNALS + "SELECT event_id, round_even(ppi, 6) AS ppi, signal, CASE signal " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in client.COLORS.items()) + " END AS color, overlay, reduced_identity_scope FROM sg")
 def _(spark, sf_dir):
-    return _offers(spark, sf_dir).select("event_id", R6("ppi"), "signal", "overlay", "reduced_identity_scope")
+    return _offers(spark, sf_dir).select("event_id", R6("ppi"), "signal", "color", "overlay", "reduced_identity_scope")
 
 
 @query("client_signal_distribution", _SIGNALS + "SELECT signal, count(*) AS n FROM sg GROUP BY signal")
@@ -325,8 +333,202 @@ def _(spark, sf_dir):
     return audit.row_hashes(read(spark, sf_dir, "documents"), "doc_id", "lang", "source", "text")
 
 
-@query("fingerprint_diff", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'MISSING_ACTUAL' WHEN a.doc_id IS NULL THEN 'MISSING_EXPECTED' WHEN a.lang IS NOT DISTINCT FROM b.lang THEN 'PASS' ELSE 'MISMATCH' END AS status FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 3 <> 0) b ON a.doc_id = b.doc_id")
+_OTHER_IDS = "doc_id + CASE WHEN doc_id % 3 = 0 THEN 1000000000 ELSE 0 END"
+
+
+@query("fingerprint_diff", f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'MISSING_ACTUAL' WHEN a.doc_id IS NULL THEN 'MISSING_EXPECTED' WHEN a.lang IS NOT DISTINCT FROM b.lang THEN 'PASS' ELSE 'MISMATCH' END AS status FROM documents a FULL JOIN (SELECT {_OTHER_IDS} AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang FROM documents) b ON a.doc_id = b.doc_id")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    other = d.where("doc_id % 3 <> 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
-    return audit.compare(d.where("doc_id % 5 <> 0"), other, "doc_id", "lang")
+    other = d.select(F.expr(_OTHER_IDS).alias("doc_id"), F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")).alias("lang"))
+    return audit.compare(d, other, "doc_id", "lang")
+
+
+@query("conformance_report", f"SELECT status, count(*) AS n FROM ({ORACLES['fingerprint_diff']}) GROUP BY status")
+def _(spark, sf_dir):
+    return audit.report(QUERIES["fingerprint_diff"](spark, sf_dir))
+
+
+@query("version_inventory", "SELECT version, kind, count(*) AS n FROM (SELECT CASE part_ WHEN 0 THEN '0.' || p_size || '.0' WHEN 1 THEN '0.' || p_size ELSE 'PSL-2026-01-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') END AS version, CASE part_ WHEN 0 THEN 'semantic' WHEN 1 THEN 'document' ELSE 'snapshot' END AS kind FROM part, (SELECT unnest([0, 1, 2]) AS part_)) GROUP BY ALL")
+def _(spark, sf_dir):
+    return audit.versions(_version_texts(spark, sf_dir))
+
+
+def _version_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each part that names a semantic version, a document version and a snapshot."""
+    day = F.lpad((1 + F.col("p_partkey") % 28).cast("string"), 2, "0")
+    size = F.col("p_size").cast("string")
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("PROTOCOL v0."), size, F.lit(".0, Version 0."), size, F.lit("; rules of PSL-2026-01-"), day).alias("text"))
+
+
+@query("version_consistency", "SELECT count(DISTINCT p_size) <= 1 AS semver_consistent, true AS doc_to_semver_mapping_valid, count(DISTINCT p_size) <= 1 AS is_consistent FROM part")
+def _(spark, sf_dir):
+    return audit.version_consistency(audit.versions(_version_texts(spark, sf_dir)))
+
+
+@query("flatten_settings", "SELECT n_nationkey, key, value FROM (SELECT n_nationkey, unnest(['name', 'at.region.key', 'at.deep.a.b.c']) AS key, unnest([n_name, CAST(n_regionkey AS VARCHAR), 'x' || n_nationkey]) AS value FROM nation)")
+def _(spark, sf_dir):
+    """Each nation as a nested document; the key of its nation leads the leaves."""
+    n = read(spark, sf_dir, "nation")
+    deep = F.struct(F.struct(F.struct(F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("c")).alias("b")).alias("a"))
+    document = F.struct(F.col("n_name").alias("name"), F.struct(F.struct(F.col("n_regionkey").alias("key")).alias("region"), deep.alias("deep")).alias("at"))
+    rows = n.select(F.to_json(F.map_from_arrays(F.array(F.col("n_nationkey").cast("string")), F.array(document))).alias("json"))
+    flat = audit.flatten_json(rows)
+    return flat.select(F.regexp_extract("key", r"^(\d+)\.", 1).cast(n.schema["n_nationkey"].dataType).alias("n_nationkey"), F.regexp_replace("key", r"^\d+\.", "").alias("key"), "value")
+
+
+@query("file_hashes", "SELECT 'r_regionkey=' || r_regionkey AS folder, octet_length(encode(r_name)) + 1 AS length, sha256(r_name || chr(10)) AS sha256 FROM region")
+def _(spark, sf_dir):
+    """Regions as a file each, hashed as a manifest does."""
+    scratch = Scratch(spark)
+    path = f"{scratch.path}/files"
+    read(spark, sf_dir, "region").select("r_regionkey", "r_name").repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
+    found = audit.file_hashes(spark, f"{path}/*/*.txt")
+    return scratch.finish(found.select(F.regexp_extract("path", r"/([^/]*)/[^/]*$", 1).alias("folder"), "length", "sha256"))
+
+
+@query("hash_verification", "SELECT 'hash:' || n_name AS \"check\", CASE WHEN n_nationkey % 4 = 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM nation UNION ALL SELECT 'present:' || n_name, CASE WHEN n_nationkey % 4 = 2 THEN 'FAIL' ELSE 'PASS' END FROM nation")
+def _(spark, sf_dir):
+    """A registry of nations against what there is: every fourth hash differs, every fourth name is missing from the second list."""
+    n = read(spark, sf_dir, "nation")
+    registered = n.select(F.col("n_name").alias("file"), F.sha2("n_name", 256).alias("sha256"))
+    actual = n.select(F.col("n_name").alias("file"), F.when(F.col("n_nationkey") % 4 == 0, "0").otherwise(F.sha2("n_name", 256)).alias("sha256"))
+    present = n.select(F.when(F.col("n_nationkey") % 4 == 2, "other").otherwise(F.col("n_name")).alias("file"))
+    return audit.check_hashes(registered, actual).unionByName(audit.check_presence(registered, present, "file"))
+
+
+# --- sources, boundary cases and services ------------------------------------------------------------------
+
+
+@query("suffix_rules", "SELECT * FROM (VALUES (1, 245::BIGINT), (2, 1488::BIGINT), (3, 5::BIGINT)) AS t(labels, n)")
+def _(spark, sf_dir):
+    """The package's rules by their number of labels."""
+    return common_rules(spark).groupBy(F.size(F.split("rule", r"\.")).alias("labels")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("suffix_match", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'shop.co.ck' WHEN 1 THEN 'www.ck' WHEN 2 THEN 'shop.co.uk' WHEN 3 THEN 'co.uk' WHEN 4 THEN 'b.unknown' ELSE 'x.github.io' END AS root_domain FROM pages")
+def _(spark, sf_dir):
+    """Wildcard, exception, longest and missing rules."""
+    rules = spark.createDataFrame([("uk", "rule"), ("co.uk", "rule"), ("*.ck", "rule"), ("www.ck", "exception"), ("github.io", "rule")], "rule string, kind string")
+    host = F.element_at(F.array(*[F.lit(h) for h in ("a.shop.co.ck", "a.www.ck", "a.b.shop.co.uk", "co.uk", "a.b.unknown", "y.x.github.io")]), (F.col("page_id") % 6 + 1).cast("int"))
+    return root_domains(read(spark, sf_dir, "pages").select("page_id", host.alias("host")), rules).select("page_id", "root_domain")
+
+
+@query("domain_fallback", "SELECT event_id, 'shop ' || user_id AS domain_id, CAST(NULL AS VARCHAR) AS reason FROM events WHERE value > 0 UNION ALL SELECT event_id, 'shop ' || user_id, 'invalid_price' FROM events WHERE NOT value > 0")
+def _(spark, sf_dir):
+    """Observations without a usable URL take their domain_id, normalized."""
+    k, user = F.col("event_id") % 2, F.col("user_id").cast("string")
+    e = read(spark, sf_dir, "events")
+    pil = F.struct(*[F.lit("").alias(f) for f in PIL_FIELDS])
+    raw = e.select(
+        "event_id", F.when(k == 0, "no url").alias("source_url"), F.concat(F.lit(" Shop "), user, F.lit("\n")).alias("domain_id"), F.lit("m").alias("merchant_id"), F.col("value").cast("string").alias("price"),
+        F.lit("USD").alias("currency"), F.lit("us").alias("region"), epoch("ts").cast("string").alias("timestamp"), pil.alias("product_identity_layer"),
+    )
+    return boundary.judge(raw, common_rules(spark), NOW).select("event_id", "domain_id", "reason")
+
+
+_RAW_FIELDS = ["source_url", "merchant_id", "price", "currency", "region", "timestamp"]
+
+
+@query("json_batches", f"SELECT event_type AS batch, event_id - min(event_id) OVER (PARTITION BY event_type) >= 0 AS ordered, event_id, CASE event_id % 20 WHEN 0 THEN '-1' WHEN 7 THEN 'inf' WHEN 8 THEN 'n/a' END AS odd_price, event_id % 20 <> 6 AS has_pil FROM events")
+def _(spark, sf_dir):
+    """Raw events written as a JSON document for each type, and read back as batches."""
+    scratch = Scratch(spark)
+    raw = raw_events(spark, sf_dir)
+    each = F.struct(F.col("event_id"), F.struct(*_RAW_FIELDS, "product_identity_layer").alias("o"))
+    batches = raw.groupBy("event_type").agg(F.array_sort(F.collect_list(each)).alias("rows"))  # a document is one string: its rows meet in one task
+    texts = batches.select("event_type", F.to_json(F.struct(F.lit("events").alias("description"), F.transform("rows", lambda r: r["o"]).alias("observations"))).alias("value"))
+    path = f"{scratch.path}/batches"
+    texts.repartition("event_type").write.partitionBy("event_type").text(path)
+    got = read_batches(spark, f"{path}/*/*.txt")
+    got = got.select(F.regexp_extract("batch", r"event_type=([^/]*)/", 1).alias("batch"), F.regexp_extract("source_url", r"x=(\d+)$", 1).alias("u"), "price", "product_identity_layer", "idx")
+    # an event is known again by its place in its batch
+    ids = raw.select("event_id", F.col("event_type").alias("batch"), (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long").alias("idx"))
+    odd = F.when(F.col("price").isin("-1", "inf", "n/a"), F.col("price"))
+    same = (F.col("u") == "") | (F.col("u") == F.col("event_id").cast("string"))
+    return scratch.finish(got.join(ids, ["batch", "idx"]).select("batch", same.alias("ordered"), "event_id", odd.alias("odd_price"), F.col("product_identity_layer").isNotNull().alias("has_pil")))
+
+
+_SINGLES = _EVENTS.replace("event_type AS core", "event_type || event_id AS core")
+
+
+@query("early_exit", chain(_SINGLES, BASE, NOW) + _ALL)
+def _(spark, sf_dir):
+    """No two events are one product: every bucket is cold before its rows weigh anything."""
+    rows = events(spark, sf_dir)
+    rows = rows.withColumn("pil", F.col("pil").withField("brand", F.concat("pil.brand", F.col("idx").cast("string"))))
+    return evaluate(rows, ["bucket"], NOW)
+
+
+_COLD = "'BASE' AS applied_profile, '0.6.0' AS protocol_version, '0.6.0' AS constants_version, CAST(NULL AS INTEGER) AS identity_scope_level, CAST(NULL AS DOUBLE) AS P_ref, CAST(NULL AS DOUBLE) AS MAD, 0::DOUBLE AS CS, 0::DOUBLE AS N_eff, true AS cold_start_flag, true AS insufficient_data_flag, 'COLD_START' AS integrity_status"
+
+
+def _shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events, each user a shop with a registrable domain of its own."""
+    own = F.regexp_replace("source_url", r"u(\d+)\.example\.co\.uk", r"example$1.co.uk")
+    return raw_events(spark, sf_dir).withColumns({"source_url": own, "idx": F.col("event_id")})
+
+
+def _responses(raw: DataFrame, now) -> DataFrame:
+    """Responses of events' types, their fields as columns."""
+    out = respond(raw, common_rules(raw.sparkSession), ["event_type"], now, BASE, raw)
+    r = F.col("response")
+    return out.select("event_type", *[r[f].alias(f) for f in ("status", "accepted_count", "rejected_count")], F.to_json(r["rejection_reasons_summary"]).alias("reasons"), *[r["result"][f].alias(f) for f in RESULT])
+
+
+@query("all_rejected", f"SELECT event_type, 'ok' AS status, 0::BIGINT AS accepted_count, count(*) AS rejected_count, '{{\"invalid_price\":' || count(*) || '}}' AS reasons, {_COLD} FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    raw = raw_events(spark, sf_dir).withColumn("price", F.lit("-1")).withColumn("idx", F.col("event_id"))
+    return _responses(raw, NOW)
+
+
+#: Accepted raw events as observations: what the boundary makes of them.
+_ACCEPTED = f"SELECT event_type AS bucket, event_id AS idx, 'example' || user_id || '.co.uk' AS d, 'm' || user_id AS m, value AS price, {_EPOCH} AS ts, event_type AS core, '' AS bundle, '' AS warranty FROM events WHERE {_REASON} IS NULL"
+_RESPONSES = (
+    chain(_ACCEPTED, BASE, NOW)
+    + f""", why AS (SELECT event_type, {_REASON} AS r FROM events),
+ct AS (SELECT event_type, count(*) FILTER (WHERE r IS NULL) AS accepted_count, count(r) AS rejected_count FROM why GROUP BY event_type),
+rs AS (SELECT event_type, '{{' || string_agg('"' || r || '":' || n, ',' ORDER BY r) || '}}' AS reasons FROM (SELECT event_type, r, count(*) AS n FROM why WHERE r IS NOT NULL GROUP BY ALL) GROUP BY event_type),
+an AS (SELECT ct.event_type, 'ok' AS status, accepted_count, rejected_count, coalesce(reasons, '{{}}') AS reasons, {", ".join(RESULT)} FROM ct JOIN res ON ct.event_type = res.bucket LEFT JOIN rs ON rs.event_type = ct.event_type)
+"""
+)
+
+
+@query("evaluate_response", _RESPONSES + "SELECT * FROM an")
+def _(spark, sf_dir):
+    """Raw events through the boundary and the evaluation, as a service answers."""
+    return _responses(_shops(spark, sf_dir), NOW)
+
+
+@query("queue_worker", _RESPONSES + "SELECT event_type AS job_id, 'completed' AS state, CAST(NULL AS VARCHAR) AS error, accepted_count, rejected_count, integrity_status, P_ref FROM an UNION ALL SELECT 'late ' || event_type, 'failed', 'Missing current_time_utc in job payload', NULL, NULL, NULL, NULL FROM an")
+def _(spark, sf_dir):
+    """A job of each event type, and one without a time, worked off as a stream of files; what their files then hold."""
+    base = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    jobs.ensure(base)
+    each = F.struct("event_id", F.struct(*_RAW_FIELDS, "product_identity_layer").alias("o"))
+    batches = _shops(spark, sf_dir).groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(each)), lambda r: r["o"]).alias("rows"))
+    late = F.explode(F.array(F.lit(False), F.lit(True)))
+    batches = batches.select("event_type", "rows", late.alias("late")).withColumn("job_id", F.concat(F.when(F.col("late"), "late ").otherwise(""), F.col("event_type")))
+    payload = F.struct(F.col("rows").alias("observations"), F.when(~F.col("late"), NOW).alias("current_time_utc"), F.lit("BASE").alias("applied_profile"))
+    write_documents(batches.select(F.col("job_id").alias("name"), F.to_json(F.struct("job_id", F.lit(1.5).alias("created_at"), payload.alias("payload"))).alias("json")), f"{base}/pending")
+    jobs.run(spark, base, common_rules(spark)).awaitTermination()
+    result = "result STRUCT<accepted_count: BIGINT, rejected_count: BIGINT, result: STRUCT<integrity_status: STRING, P_ref: DOUBLE>>"
+    done = spark.read.schema(f"job_id STRING, status STRING, error STRING, {result}").option("multiLine", True).option("pathGlobFilter", "*.json").json([f"{base}/completed", f"{base}/failed"])
+    out = done.select("job_id", F.col("status").alias("state"), "error", "result.accepted_count", "result.rejected_count", "result.result.integrity_status", "result.result.P_ref").checkpoint()
+    delete(spark, base)
+    return out
+
+
+@query("record_lines", _E + _ALL)
+def _(spark, sf_dir):
+    """Records as the JSON lines that are printed, read again."""
+    records = evaluate(events(spark, sf_dir), ["bucket"], NOW)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema if f.name in RESULT)
+    lines = record_json(records, "bucket")
+    return lines.select("bucket", F.from_json("json", kinds).alias("r")).select("bucket", "r.*")
+
+
+@query("worker_settings", "SELECT * FROM (VALUES ('queue', 'queue'), ('profile', 'HARDENED'), ('poll_seconds', '5'), ('suffix_rules', '')) AS t(name, value)")
+def _(spark, sf_dir):
+    """Settings from an environment: a number that is none counts as unset."""
+    found = config.load({"TIDEMARK_PROFILE": "HARDENED", "TIDEMARK_POLL_SECONDS": "soon"})
+    return spark.createDataFrame([(k, str(v)) for k, v in asdict(found).items()], "name string, value string")

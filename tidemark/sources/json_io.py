@@ -30,9 +30,9 @@ def raw_observations(spark: SparkSession, observations: list[dict], batch: str =
     return rows.select(parsed.alias("r")).select("r.batch", "r.idx", "r.o.*")
 
 
-def record_json(result: DataFrame) -> DataFrame:
-    """(json): each record as one line, its keys in their order, nulls kept."""
-    return result.select(F.to_json(F.struct(*RESULT), {"ignoreNullFields": "false"}).alias("json"))
+def record_json(result: DataFrame, *keys: str) -> DataFrame:
+    """(keys, json): each record as one line, its keys in their order, nulls kept."""
+    return result.select(*keys, F.to_json(F.struct(*RESULT), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def pretty(row) -> str:

@@ -1,84 +1,112 @@
-"""A file queue of evaluation jobs as a stream: pending JSON files in, completed and failed records out.
+"""A file queue of evaluation jobs as a stream: pending JSON files in, one completed or failed file a job out.
 
-The source's checkpoint hands each file to one batch; a batch's records are written to a folder of its
-own by overwriting, so a batch that runs again after a failure leaves the same files.
+The source's checkpoint hands each file to one batch. A job's record goes to a file of its own name that is renamed
+when whole, so a batch that runs again after a failure puts the same files in the same places.
 """
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators import boundary
-from tidemark.plans.evaluation import evaluate
+from tidemark.plans.evaluation import respond
 from tidemark.profiles import PROFILES
-from tidemark.schema import JOB, RESULT
+from tidemark.schema import JOB
 from tidemark.shared import Scratch
+from tidemark.sources.files import document, file_name, put, store, write_documents
 
+FOLDERS = ("pending", "completed", "failed")
 
-def enqueue(spark: SparkSession, base: str, observations: list[dict], now: int, profile: str = "BASE", metadata: dict | None = None, job_id: str | None = None) -> str:
-    """Writes one pending job and returns its id."""
+
+def ensure(base: str) -> None:
+    at, folder = store(base)
+    for name in FOLDERS:
+        at.create_dir(f"{folder}/{name}", recursive=True)
+
+
+def enqueue(base: str, observations: list[dict], now: int, profile: str = "BASE", metadata: dict | None = None, job_id: str | None = None) -> str:
+    """Writes one pending job, an indented JSON document, and returns its id."""
+    ensure(base)
     job_id = job_id or str(uuid.uuid4())
     payload = {"observations": observations, "current_time_utc": now, "applied_profile": profile, "metadata": metadata}
-    line = json.dumps({"job_id": job_id, "created_at": float(now), "payload": payload})
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{base}/pending")
+    at, folder = store(base)
+    put(at, f"{folder}/pending", file_name(job_id), document({"job_id": job_id, "created_at": time.time(), "payload": payload}))
     return job_id
 
 
-def jobs_of(spark: SparkSession, base: str) -> DataFrame:
-    return spark.readStream.schema(JOB).option("columnNameOfCorruptRecord", "_corrupt").json(f"{base}/pending")
+def ingest(base: str, request: dict) -> dict:
+    """Takes a request (observations, current_time_utc, applied_profile, metadata) into the queue and says so."""
+    at = time.time()
+    job_id = enqueue(base, request["observations"], request["current_time_utc"], request.get("applied_profile") or "BASE", request.get("metadata"))
+    return {"status": "ok", "job_id": job_id, "accepted_timestamp": at, "observations_count": len(request["observations"])}
+
+
+def _jobs(files: DataFrame) -> DataFrame:
+    """files (value, file) -> file, job_id, created_at, payload, original (the payload's text) and _corrupt, null if it could be read."""
+    job = F.from_json("value", JOB, {"columnNameOfCorruptRecord": "_corrupt"}).alias("j")
+    return files.select("file", job, F.get_json_object("value", "$.payload").alias("original")).select("file", "original", "j.*")
+
+
+def _now():
+    return (F.unix_micros(F.current_timestamp()) / 1e6).alias("at")
 
 
 def process(jobs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A batch of jobs -> (completed, failed). Jobs of one profile and time are evaluated by one plan, keyed by job_id."""
+    """Jobs of a batch -> (completed, failed), rows (name, json). One plan a profile evaluates them all, keyed by file; times are a column."""
+    profile = F.coalesce("payload.applied_profile", F.lit("BASE"))
     why = (
         F.when(F.col("_corrupt").isNotNull() | F.col("job_id").isNull() | F.col("payload").isNull(), "unreadable job")
-        .when(F.col("payload.current_time_utc").isNull(), "current_time_utc is missing")
-        .when(~F.coalesce("payload.applied_profile", F.lit("BASE")).isin(list(PROFILES)), "unknown profile")
+        .when(F.col("payload.current_time_utc").isNull(), "Missing current_time_utc in job payload")
+        .when(~profile.isin(list(PROFILES)), F.concat(F.lit("Invalid profile: "), profile))
+    )
+    jobs = jobs.withColumns({"error": why, "profile": profile, "stem": F.regexp_replace("file", r"\.json$", "")})
+    kind = F.when(F.col("error") == "unreadable job", "JSONDecodeError").otherwise("ValueError")
+    failure = F.struct(
+        "job_id", "created_at", _now().alias("failed_at"), F.lit("failed").alias("status"), "error", F.struct(kind.alias("exception_type"), F.col("_corrupt").alias("text")).alias("error_details")
     )
-    jobs = jobs.withColumn("error", why)
-    failed = jobs.where("error IS NOT NULL").select("job_id", "created_at", "error", F.col("_corrupt").alias("details"))
-    good = jobs.where("error IS NULL").select("job_id", "created_at", "payload.observations", F.col("payload.current_time_utc").alias("now"), F.coalesce("payload.applied_profile", F.lit("BASE")).alias("profile"))
+    head = F.to_json(failure, {"ignoreNullFields": "false"})
+    whole = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"original_payload":'), F.coalesce("original", F.lit("null")), F.lit("}"))
+    failed = jobs.where("error IS NOT NULL").select(F.coalesce("job_id", "stem").alias("name"), whole.alias("json"))
+    good = jobs.where("error IS NULL").select("file", "job_id", "created_at", "payload.observations", F.col("payload.current_time_utc").alias("now"), "profile")
     out = None
-    # a batch has as many plans as it has distinct (profile, time) settings; jobs themselves are rows
-    for s in good.select("profile", "now").distinct().toLocalIterator():
-        own = good.where((F.col("profile") == s["profile"]) & (F.col("now") == s["now"]))
-        raw = own.select("job_id", F.posexplode_outer("observations").alias("idx", "o")).where("o IS NOT NULL").select("job_id", F.col("idx").cast("long").alias("idx"), "o.*")
-        judged = boundary.judge(raw, rules, s["now"])
-        records = evaluate(boundary.accepted(judged), ["job_id"], s["now"], PROFILES[s["profile"]], own.select("job_id"))
-        done = own.select("job_id", "created_at", "profile").join(boundary.summary(judged, "job_id"), "job_id", "left").join(records, "job_id", "left")
+    for name in sorted(r["profile"] for r in good.select("profile").distinct().collect()):  # two at most
+        own = good.where(F.col("profile") == name)
+        raw = own.select("file", "now", F.posexplode_outer("observations").alias("idx", "o")).where("o IS NOT NULL").select("file", "now", F.col("idx").cast("long").alias("idx"), "o.*")
+        done = own.select("file", "job_id", "created_at").join(respond(raw, rules, ["file"], F.col("now"), PROFILES[name], own.select("file")), "file")
         out = done if out is None else out.unionByName(done)
     if out is None:
-        out = _empty(jobs.sparkSession)
-    out = out.fillna({"accepted_count": 0, "rejected_count": 0})
-    result = F.struct(F.lit("completed").alias("status"), *RESULT[:3], "accepted_count", "rejected_count", "rejection_reasons_summary", F.struct(*RESULT).alias("record"))
-    return out.select("job_id", "created_at", result.alias("result")), failed
-
-
-def _empty(spark: SparkSession) -> DataFrame:
-    kinds = "job_id string, created_at double, profile string, accepted_count bigint, rejected_count bigint, rejection_reasons_summary map<string,bigint>, applied_profile string, protocol_version string, constants_version string, identity_scope_level int, P_ref double, MAD double, CS double, N_eff double, cold_start_flag boolean, insufficient_data_flag boolean, integrity_status string"
-    return spark.createDataFrame([], kinds)
+        return failed.where("false"), failed
+    envelope = F.struct("job_id", "created_at", _now().alias("completed_at"), F.lit("completed").alias("status"), F.col("response").alias("result"))
+    return out.select(F.col("job_id").alias("name"), F.to_json(envelope, {"ignoreNullFields": "false"}).alias("json")), failed
 
 
 def pending(spark: SparkSession, base: str) -> DataFrame:
-    """(path, length, modificationTime) of the queue's job files, worked off or not; the stream's progress tells which are done."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{base}/pending").drop("content")
+    """(job, path, modificationTime) of the queue's files that have neither a completed nor a failed record yet."""
+    def listed(folder: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{base}/{folder}").drop("content")
+        return files.withColumn("job", F.regexp_extract("path", r"([^/]*)\.json$", 1))
+
+    done = listed("completed").select("job").union(listed("failed").select("job"))
+    return listed("pending").join(done, "job", "left_anti").select("job", "path", "modificationTime")
 
 
 def run(spark: SparkSession, base: str, rules: DataFrame, *, once: bool = True, seconds: int = 5, files: int = 1000) -> StreamingQuery:
     """Works off the queue under base; once: what is pending now, else every so many seconds."""
+    ensure(base)
 
-    def batch(jobs: DataFrame, batch_id: int) -> None:
+    def batch(rows: DataFrame, batch_id: int) -> None:
         scratch = Scratch(spark)
-        completed, failed = process(scratch.stage(jobs), rules)
-        completed.write.mode("overwrite").json(f"{base}/completed/batch={batch_id}")
-        failed.write.mode("overwrite").json(f"{base}/failed/batch={batch_id}")
-        scratch.drop()
-
-    source = spark.readStream.schema(JOB).option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files).json(f"{base}/pending")
-    writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
+        try:
+            completed, failed = process(scratch.stage(_jobs(rows)), rules)
+            write_documents(completed, f"{base}/completed")
+            write_documents(failed, f"{base}/failed")
+        finally:
+            scratch.drop()
+
+    source = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files).load(f"{base}/pending")
+    writer = source.select("value", F.col("_metadata.file_name").alias("file")).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
