@@ -230,3 +230,78 @@ def test_language_by_compressed_sizes(spark):
         assert sizes[got[i]["lang_pred"]] == least
         assert got[i]["lang_rejected"] == (second - least < max(2, 0.002 * least))
     assert got[len(texts) - 1]["lang_rejected"]
+
+
+# --- generated pages -------------------------------------------------------------------------------------
+
+
+def generated_page(rnd):
+    """(page, the article's text) with a layout, inline markup, references and surroundings at random."""
+    word = lambda: "".join(rnd.choices("abcdefghiklmnoprstu", k=rnd.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rnd.choice([".", ".", "?", " & so on.", " <b> is a tag."])
+    escape = lambda t: t.replace("&", rnd.choice(["&amp;", "&#38;", "&#x26;"])).replace("<", "&lt;").replace(">", "&gt;")
+
+    def inline(text):
+        out = []
+        for w in text.split(" "):
+            w = escape(w)
+            kind = rnd.random()
+            out.append(f"<a href='/x'>{w}</a>" if kind < 0.03 else f"<b>{w}</b>" if kind < 0.06 else f"<span class='term'>{w}</span>" if kind < 0.08 else w)
+        return rnd.choice([" ", "\n", "  ", " "]).join(out)
+
+    blocks, html = [], []
+
+    def add(tag, text, **attrs):
+        blocks.append(text)
+        named = "".join(f' {k}="{v}"' for k, v in attrs.items())
+        html.append(f"<{tag}{named}>{inline(text)}</{tag}>" if tag != "p" or rnd.random() < 0.8 else f"<p{named}>{inline(text)}")
+
+    add("h1", sentence(5))
+    for name in rnd.sample(["discussion", "related-work", "search-algorithms", "legal-analysis", "side-effects", "alert-levels", "popular-science", "method", "results"], rnd.randint(2, 5)):
+        wrap = rnd.random() < 0.5
+        if wrap:
+            html.append(f'<section id="{name}">')
+        add("h2", sentence(3), **({} if wrap else {"id": name}))
+        for _ in range(rnd.randint(1, 4)):
+            add("p", " ".join(sentence(rnd.randint(6, 25)) for _ in range(rnd.randint(1, 4))))
+            if rnd.random() < 0.2:
+                html.append("<ul>")
+                for _ in range(rnd.randint(2, 4)):
+                    add("li", sentence(rnd.randint(3, 9)))
+                html.append("</ul>")
+            if rnd.random() < 0.1:
+                add("p", sentence(2))
+            if rnd.random() < 0.2:
+                html.append(rnd.choice(['<div class="ad">Buy this now</div>', "<script>var x = '<p>no</p>';</script>", "<style>p{color:red}</style>", "<!-- <p>no</p> -->", "<form><label>Your name</label><input name=a></form>"]))
+        if wrap:
+            html.append("</section>")
+    if rnd.random() < 0.3:
+        html.append("<ul class=more>" + "".join(f"<li><a href=/{i}>{sentence(5)}</a></li>" for i in range(30)) + "</ul>")
+        add("p", " ".join(sentence(20) for _ in range(2)))
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{i}>{word()}</a></li>" for i in range(n)) + "</ul>"
+    article = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<main><article class=post>{}</article></main>", "<div id=content><div class=entry>{}</div></div>", "<div role=main>{}</div>"]).format("\n".join(html))
+    before = [f"<nav>{links(6)}</nav>", f"<header><p>{sentence(6)}</p></header>", f"<div class='cookie-notice'>{sentence(30)}</div>", f"<div class='navbar'>{links(9)}</div>", f"<div class=ad>{sentence(8)}</div>"]
+    after = [f"<aside>{sentence(20)}</aside>", f"<div class=sidebar>{links(12)}<p>{sentence(15)}</p></div>", f"<footer><p>{sentence(12)}</p></footer>", f"<div id=comments><p>{sentence(40)}</p><p>{sentence(30)}</p></div>", f"<div class='newsletter-signup'><p>{sentence(9)}</p></div>"]
+    rnd.shuffle(before)
+    rnd.shuffle(after)
+    page = f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{''.join(before[:4])}{article}{''.join(after[:4])}</body></html>"
+    return page, "\n\n".join(blocks)
+
+
+def test_generated_pages():
+    rnd = random.Random(21)
+    for _ in range(300):
+        page, want = generated_page(rnd)
+        assert html_text.main_text(page) == want, page
+
+
+@pytest.mark.parametrize(
+    "broken",
+    ["<div><p>x" * 40_000, "<p><table>" + "<b><ul>x" * 40_000, "<span><dd>x" * 40_000, "<div>" * 40_000 + "</span>x" * 40_000, "<!-- " * 100_000, "<div a=" * 100_000, "<![CDATA[" * 60_000 + ">", "<" * 500_000, "<article>" + "<header><h1>x" * 40_000],
+)
+def test_broken_markup_takes_linear_time(broken):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(broken)
+    assert time.process_time() - began < 10

@@ -4,7 +4,7 @@ Parser events give lines, one for each block element. A line's text-to-tag ratio
 notices and the like, lowered under names that may mean them) is smoothed by a Gaussian over its neighbours;
 a two-cluster threshold on the smoothed ratios selects content lines. They select the region: the article
 that holds most of them, else the smallest element around the longest that holds nearly all. Of the region
-go lines in navigation and the like, and runs of lines that are all links and lie below the threshold; its
+go lines in navigation and the like, and runs of lines that are all links and on average below the threshold; its
 other lines stay, so that a short paragraph isn't lost for its low ratio.
 
 Names: a class or id counts as navigation and the like only if all its words say so (`cookie-notice`; not `related-work`).
@@ -30,6 +30,8 @@ from tidemark.llm.common import small_batches, table
 SIGMA, RADIUS = 1.0, 2
 #: The share of the content lines' characters that a region must hold.
 REGION_SHARE = 0.8
+#: What an element around it may add to a region, as a share of the region's text.
+WIDEN = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -63,6 +65,7 @@ _WORDS = re.compile(r"[a-z]+")
 LOWERED, ALL_LINKS, LINK_RUN = 0.3, 0.8, 3
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN = frozenset(("article", "main"))
+_PARTS = frozenset("section p ul ol li dl dd dt blockquote table tbody tr td figure".split())
 
 
 class _Node:
@@ -259,6 +262,19 @@ def _closed(html: str) -> str:
     return html
 
 
+def _widened(node: _Node, lines: list[_Line]) -> _Node:
+    """The outermost element below the body that adds little to the node and no list of links; a section, list or table is always part of what it stands in."""
+    text = list(accumulate((0 if line.away else len(line.text) for line in lines), initial=0))
+    links = list(accumulate((0 if line.away else line.links for line in lines), initial=0))
+    of = lambda sums, n: sums[n.last] - sums[n.first]
+    while node.up is not None and node.up.tag not in ("body", "html", "") and not node.up.maybe:
+        more = of(text, node.up) - of(text, node)
+        if node.tag not in _PARTS and (more > WIDEN * of(text, node) or of(links, node.up) - of(links, node) > more / 2):
+            break
+        node = node.up
+    return node
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -284,7 +300,7 @@ def main_text(html: str | None) -> str:
         node = max((line for line, c in zip(lines, content, strict=True) if c), key=lambda line: len(line.text)).node.up  # never the block itself: its neighbours belong to it
         while node is not None:
             if chars(node) >= REGION_SHARE * total:
-                region = node
+                region = _widened(node, lines)
                 break
             node = node.up
     inside = range(region.first, region.last)
@@ -292,9 +308,8 @@ def main_text(html: str | None) -> str:
     out = []
     for all_links, run in groupby(inside, key=lambda i: linked[i - region.first]):
         run = list(run)
-        for i in run:
-            if not lines[i].away and not (all_links and len(run) >= LINK_RUN and ratios[i] < cut):
-                out.append(lines[i].text)
+        if not (all_links and len(run) >= LINK_RUN and sum(ratios[i] for i in run) < cut * len(run)):
+            out += [lines[i].text for i in run if not lines[i].away]
     return "\n\n".join(out)
 
 
