@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import extract_host
+from tidemark.shared import small
 
 #: Used where no rule file is given: the pinned list PSL-2026-01-01; another file is a parameter.
 RULE_FILE = "public_suffixes.dat"
@@ -36,7 +37,7 @@ def root_domains(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Data
 
     The longest matching rule by labels counts, exceptions first and one label shorter; without a
     rule the last label is the suffix. A host that is a suffix itself, or has one label, is its own
-    root. Matching runs on distinct hosts; the rules, some thousands, are the broadcast side.
+    root. Matching runs on distinct hosts; the rules, some thousands, are broadcast after they were counted.
     """
     labels = F.split(F.col(host), "\\.")
     one = hosts.select(host).where(F.col(host).isNotNull()).distinct().withColumn("_labels", labels)
@@ -45,7 +46,7 @@ def root_domains(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Data
     plain = F.array_join("_tail", ".")
     wild = F.concat(F.lit("*."), F.array_join(F.slice("_tail", F.lit(2), F.col("_k") - 1), "."))
     probes = tails.select(host, "_labels", "_k", F.explode(F.array(plain, F.when(F.col("_k") > 1, wild))).alias("rule"))
-    matched = probes.join(F.broadcast(rules), "rule")
+    matched = probes.join(small(rules), "rule")
     longest = matched.groupBy(host).agg(
         F.max(F.when(F.col("kind") == "exception", F.col("_k") - 1)).alias("_exception"), F.max(F.when(F.col("kind") == "rule", F.col("_k"))).alias("_rule")
     )

@@ -156,8 +156,8 @@ class Evaluation:
 
 def evaluate(observations: DataFrame, keys: list[str], now: int | Column, profile: Profile = BASE, buckets: DataFrame | None = None) -> DataFrame:
     """(keys, the columns of RESULT), cut off from the intermediate tables."""
-    e = Evaluation(observations, keys, now, profile, buckets=buckets)
-    return e.scratch.finish(e.result.select(*keys, *RESULT))
+    with Scratch(observations.sparkSession) as scratch:
+        return scratch.finish(Evaluation(observations, keys, now, profile, scratch, buckets).result.select(*keys, *RESULT))
 
 
 def respond(raw: DataFrame, rules: DataFrame, keys: list[str], now: int | Column, profile: Profile, buckets: DataFrame) -> DataFrame:

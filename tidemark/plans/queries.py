@@ -101,8 +101,8 @@ def step(name: str, oracle: str, of: Callable[[Evaluation], DataFrame], profile:
     """A query for one step of the evaluation of events."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = Evaluation(events(spark, sf_dir), ["bucket"], NOW, profile)
-        return e.scratch.finish(of(e))
+        with Scratch(spark) as scratch:
+            return scratch.finish(of(Evaluation(events(spark, sf_dir), ["bucket"], NOW, profile, scratch)))
 
     query(name, oracle)(run)
 

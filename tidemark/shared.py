@@ -60,6 +60,12 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self._n = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def stage(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.path}/t{self._n}"
@@ -72,9 +78,10 @@ class Scratch:
         return df
 
     def finish(self, df: DataFrame) -> DataFrame:
-        out = df.checkpoint()
-        self.drop()
-        return out
+        try:
+            return df.checkpoint()
+        finally:
+            self.drop()
 
     def drop(self) -> None:
         delete(self.spark, self.path)
