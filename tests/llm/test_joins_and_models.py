@@ -259,6 +259,61 @@ def test_toxicity_rare_words(spark):
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_against_dictionaries():
+    """Evidence and features, computed word by word with dictionaries."""
+    import math
+
+    rnd = random.Random(3)
+    classes = {c: [[rnd.choice("abcdefgh") + str(min(9, int(rnd.expovariate(0.4 if c else 0.6)))) for _ in range(rnd.randint(1, 30))] for _ in range(40)] for c in (0, 1)}
+    ids = toxicity._Ids()
+    counted = [(c, ids.of([w.encode() for w in t]).astype(np.int32)) for c, texts in classes.items() for t in texts]
+    vocabulary = list(ids)
+    contexts = np.array([rnd.randint(0, 50) for _ in vocabulary], float)
+    total = contexts.sum() + 0.5 * len(vocabulary) + 77
+    model = toxicity._estimate(vocabulary, counted, contexts, total)
+    shared = {w.decode(): (n + 0.5) / total for w, n in zip(vocabulary, contexts, strict=True)}
+    tables = {}
+    for c, texts in classes.items():
+        lefts, before = {}, {}
+        for t in texts:
+            for v, w in zip(t, t[1:]):
+                lefts.setdefault(w, set()).add(v)
+            for u, v, w in zip(t, t[1:], t[2:]):
+                before.setdefault((v, w), set()).add(u)
+        tables[c] = lefts, before
+
+    def unigram(c, w):
+        lefts = tables[c][0]
+        n = sum(map(len, lefts.values()))
+        lam = toxicity.DISCOUNT * len(lefts) / n
+        return lam if w not in shared else max(len(lefts.get(w, ())) - toxicity.DISCOUNT, 0) / n + lam * shared[w]
+
+    def gamma(c, v):
+        own = [len(x) for (a, _), x in tables[c][1].items() if a == v]
+        return toxicity.DISCOUNT * len(own) / sum(own) if own else 1.0
+
+    def likelihood(c, v, w):
+        if v is None:
+            return math.log(unigram(c, w))
+        own = sum(len(x) for (a, _), x in tables[c][1].items() if a == v)
+        seen = len(tables[c][1].get((v, w), ()))
+        high = (seen - toxicity.DISCOUNT) / own if seen else 0.0
+        return math.log(high + gamma(c, v) * unigram(c, w))
+
+    def strength(w):
+        n = sum(len(tables[c][0].get(w, ())) for c in (0, 1))
+        e = max(-toxicity.CLIP, min(toxicity.CLIP, likelihood(1, None, w) - likelihood(0, None, w)))
+        return e * n / (n + toxicity.RELIABLE)
+
+    for _ in range(40):
+        text = [rnd.choice([*shared, "unseen", "words"]) for _ in range(rnd.randint(1, 40))]
+        want = [max(-toxicity.CLIP, min(toxicity.CLIP, likelihood(1, v, w) - likelihood(0, v, w))) for v, w in zip([None, *text], text)]
+        assert np.allclose(model.evidence(" ".join(text)), want)
+        strong = [max(strength(w), 0.0) for w in text]
+        assert np.allclose(model.features(" ".join(text)), [1, sum(want) / len(want), (sum(x**4 for x in strong) / len(strong)) ** 0.25])
+    assert model.features("").tolist() == model.features(None).tolist() == [1, 0, 0]
+
+
 def test_toxicity_corpus_counts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "PLACES", 2000)
     rnd = random.Random(9)

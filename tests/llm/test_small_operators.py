@@ -178,10 +178,10 @@ def test_pieces_equal_the_library(spark):
         for text, (ids, said) in zip(part, encoder.encode(part), strict=True):
             assert ids == library.encode(text, add_eos=True), text
             assert said == " ".join(map(str, ids))
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "Hello  world\n"), (3, "Hello  world\n")], DOCS).selectExpr("*", "0 AS ids", "1 AS agreed")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Hello  world\n"), (3, "Hello  world\n")], DOCS).selectExpr("*", "0 AS ids", "1 AS batch_checked")
     got = {r["doc_id"]: r for r in piece_encoding.encode_documents(df, with_ids=True).collect()}
     assert got[1]["ids"] == got[2]["ids"] == [library.eos_id()] and got[1]["decoded"] == ""
-    assert got[3]["ids"] == library.encode("Hello  world\n", add_eos=True) and got[3]["decoded"] == "Hello  world\n" and got[3]["agreed"]
+    assert got[3]["ids"] == library.encode("Hello  world\n", add_eos=True) and got[3]["decoded"] == "Hello  world\n" and got[3]["batch_checked"]
     assert piece_encoding.encode_documents(df.limit(0)).count() == 0
 
 

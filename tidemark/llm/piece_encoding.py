@@ -8,7 +8,7 @@ No piece joins a character and a following U+2581, and none holds a line feed, s
 those places: texts are cut there, and each distinct chunk is merged once and remembered (a bounded
 table). Chunks that are new in a batch merge together, one row of numpy arrays each. In every batch
 one text is also encoded by the sentencepiece library; if the ids differ, the library encodes that
-whole batch, and rows that had differed say so in `agreed`.
+whole batch, and rows that had differed say so in `batch_checked`.
 """
 
 from __future__ import annotations
@@ -240,14 +240,14 @@ def model_path(name: str = MODEL) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, *, with_ids: bool = False) -> DataFrame:
-    """docs (with text) -> the same rows with n_tokens, ids_sha256, decoded, agreed, and ids if asked for.
+    """docs (with text) -> the same rows with n_tokens, ids_sha256, decoded, batch_checked, and ids if asked for.
 
     Each whole text gets its pieces and the end id, no sampling; decoded is the library's
-    decode(ids). Null and empty texts have the end id alone and decode to the empty text.
+    decode(ids). batch_checked: the text of its batch that was compared had the library's ids, or this row did when all were compared. Null and empty texts have the end id alone and decode to the empty text.
     Rows are independent; a worker holds the vocabulary, one batch and a bounded table.
     """
     path = path or model_path()
-    added = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded", "string", pa.string()), ("agreed", "boolean", pa.bool_())]
+    added = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded", "string", pa.string()), ("batch_checked", "boolean", pa.bool_())]
     if with_ids:
         added.append(("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
     names = [c for c in docs.columns if c not in {a[0] for a in added}]
@@ -274,4 +274,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, with_ids: bool
 
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "agreed")
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "batch_checked")
