@@ -363,3 +363,76 @@ def test_pipeline(spark, tmp_path):
     for d, r in got.items():
         text = texts[d] if d not in (100, 101, 102) else texts[d].split("\n")[0]
         assert r["ids"] == library.encode(text, add_eos=True) and r["n_tokens"] == len(r["ids"])
+
+
+def brute_pipeline(spark, docs, items):
+    """The five stages in plain Python, but for the dictionaries that language ID learns."""
+    import zstandard
+
+    from tests.llm.test_small_operators import brute_lines
+    from tidemark.llm import language_id
+    from tidemark.llm.piece_encoding import Encoder, model_path
+
+    model = language_id.learn(language_id.training_rows(spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, lang string")))
+
+    def clear(text):
+        if not text or not any(c.isalpha() for c in text):
+            return False
+        raw = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split(" ")).encode()
+        raw = __import__("re").sub(rb" +", b" ", raw)
+        sizes = []
+        for dictionary in model.values():
+            d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096)))
+        least, second = sorted(sizes)[:2]
+        return second - least >= max(2, 0.002 * least)
+
+    kept = [d for d in docs if clear(d[1])]
+    kept = [(d, text) for (d, text, _, _), row in zip(brute_lines([(d, text) for d, text, *_ in kept]), kept, strict=True)]
+    named = [(d, t) for d, t in kept if d is not None]
+    sets = sets_of(named, 5)
+    links = [(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if s and t and 100 * len(s & t) >= 80 * len(s | t)]
+    component = groups({d for d, _ in named}, links)
+    kept = [(d, t) for d, t in kept if d is None or component[d] == d]
+    held = brute_items([k for k in kept if k[0] is not None], items)
+    library = Encoder(model_path()).vocabulary.library
+    return Counter((d, tuple(library.encode(t, add_eos=True))) for d, t in kept if d not in held)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rnd = random.Random(18)
+    vocabulary = {lang: ["".join(rnd.choices(letters, k=rnd.randint(2, 8))) for _ in range(200)] for lang, letters in (("en", "etaoinshrdlu"), ("fr", "çéèaeuxmptno"), ("ru", "оеаинтсрвл"))}
+    make = lambda lang, n: " ".join(rnd.choices(vocabulary[lang], k=n))
+    items = [(i, make("en", n)) for i, n in enumerate((20, 40, 60))]
+    shared = [make("en", 8) for _ in range(3)]
+    docs = []
+    for i in range(160):
+        lang = rnd.choice(list(vocabulary))
+        parts = [make(lang, rnd.randint(1, 60)) for _ in range(rnd.randint(1, 3))]
+        if rnd.random() < 0.2:
+            parts.insert(rnd.randint(0, len(parts)), rnd.choice(shared))
+        text = "\n".join(parts)
+        if i % 5 == 4:
+            w = docs[rnd.randrange(len(docs))][1].split(" ")
+            w[rnd.randrange(len(w))] = "edited"
+            text = " ".join(w)
+        if i % 11 == 3:
+            w = items[i % 3][1].split(" ")
+            if rnd.random() < 0.5:
+                w[rnd.randrange(len(w))] = "edited"
+            text += " " + " ".join(w) + " " + make(lang, 5)
+        docs.append((i, text, lang, "s", len(text)))
+    docs += [(500, None, "en", None, None), (501, "", "en", "s", 0), (502, "123 ½", None, "s", 5), (503, "x", "fr", "s", 1), (3, docs[3][1], "en", "s", 0), (7, make("en", 30), "en", "s", 0), (None, make("ru", 40), "ru", "s", 0), (504, make("fr", 30_000), "fr", "s", 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS h", "1 AS tile", "2 AS ids", "3 AS _lost")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == brute_pipeline(spark, docs, items)
+    assert 60 < sum(got.values()) < len(docs) - 30
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
