@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, components, table
+from tidemark.llm.common import Scratch, components, table, trimmed
 
 #: Vectors a cell holds on average; codewords a half at most; vectors of the fitting sample, and for each codeword; share of
 #: threshold pairs that traversal must reach; members and visits of a tile (cells above it are cut into blocks that all meet).
@@ -164,7 +164,7 @@ def _links(nodes: DataFrame, scratch: Scratch, min_cosine: float) -> tuple[DataF
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*b.schema.names, "visits"])
 
     placed = nodes.withColumn("dim", F.size("v"))
-    placed = scratch.stage(placed.mapInArrow(place, T.StructType([*placed.schema, T.StructField("visits", T.ArrayType(T.IntegerType()))])))
+    placed = scratch.stage(placed.mapInArrow(trimmed(place), T.StructType([*placed.schema, T.StructField("visits", T.ArrayType(T.IntegerType()))])))
     cell = ["label", "dim", "cell"]
     visits = placed.select("k1", "k2", "node", "copies", "label", "dim", "v", "visits", F.posexplode("visits").alias("nth", "cell"))
     # cells above a tile's size are cut into blocks of members and of visits; there are few of them
@@ -244,7 +244,7 @@ def _links(nodes: DataFrame, scratch: Scratch, min_cosine: float) -> tuple[DataF
         if rest is not None and rest.num_rows:
             yield tiles(rest, [rest.num_rows])
 
-    found = scratch.stage(rows.mapInArrow(run, "k1 long, k2 long, n long, a long, b long"))
+    found = scratch.stage(rows.mapInArrow(trimmed(run), "k1 long, k2 long, n long, a long, b long"))
     return found.where("n > 0").select("k1", "k2", "n"), found.where("a < b").select("a", "b")
 
 

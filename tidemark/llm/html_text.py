@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small_batches, table, trimmed
 
 SIGMA, RADIUS = 1.0, 2
 #: The share of the content lines' characters that a region must hold.
@@ -328,7 +328,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = pa.array([main_text(h.as_py()) for h in b.column(html)], pa.string())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], texts], names=[*names, "main_text"])
 
-    return small_batches(pages).mapInArrow(run, pages.select(*names).schema.add("main_text", "string"))
+    return small_batches(pages).mapInArrow(trimmed(run), pages.select(*names).schema.add("main_text", "string"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small_batches, table, trimmed
 
 #: Bounds of the training sample: bytes of raw content a language and of all, bytes that one document may give.
 DICT_BYTES, MODEL_BYTES, DOC_BYTES = 200_000, 48 << 20, 400
@@ -98,7 +98,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], *, level: int = LEVEL, min
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + cols, names=names + fields.names)
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(trimmed(run), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

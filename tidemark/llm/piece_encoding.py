@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small_batches, table, trimmed
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -269,7 +269,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, with_ids: bool
     schema = docs.select(*names).schema
     for name, kind, _ in added:
         schema = schema.add(name, kind)
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(trimmed(run), schema)
 
 
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ Bitmaps: a set's hashed bitmap bounds an overlap from above: every bit that one
 lacks is at least one shingle that is not shared. Of the pairs left, those whose bound falls short are
 dropped. Then the sorted shingle arrays of what is left are intersected exactly.
 
-Copies with equal sets are one node. Every node is first compared with the smallest nodes of its tiles, the STAR that
-share most tiles with it; only nodes of a tile that these links leave in different components are compared with
-each other, in blocks, so that a large group of near copies does not make all its pairs.
+Copies with equal sets are one node. Every node is first compared with the middles of its tiles, the STAR that share
+most tiles with it; a tile's middle is the node whose shingles are the most usual, which in a group of edited
+copies is the least edited. Only nodes of a tile that these links leave in different components are compared with
+each other: in the order of the tiles they share, in rounds, after each of which pairs whose components have
+become one are left out. So a large group of near copies does not make all its pairs.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, components, small, small_batches, table
+from tidemark.llm.common import Scratch, components, small, small_batches, table, trimmed
 
 #: A bitmap has so many bits for each shingle, rounded up to a power of two; fuller ones bound too little.
 BITS_EACH, LEAST_BITS = 8, 512
 BAND_RATIO, BLOCK, LEAST = 1.5, 512, 3
 #: The sample for the order: a share of the documents, but so many at least; and its most frequent shingles, broadcast (12 bytes each).
 SAMPLE_SHARE, SAMPLE_DOCS, POPULAR = 0.01, 10_000, 1_000_000
-#: Smallest nodes of its tiles with which a node is compared first; pairs that a task holds before it sends them.
+#: Middles of its tiles with which a node is compared first; pairs that a task holds before it sends them.
 STAR, HELD = 3, 1 << 19
 _CACHE = 200_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -112,6 +114,14 @@ def shared_tiles(n: Column, num: int, den: int) -> Column:
     return F.least(F.lit(LEAST), F.ceil(n * num / den))
 
 
+def central(h: np.ndarray, popular: np.ndarray, often: np.ndarray) -> int:
+    """How often a set's shingles are in the sample, on average, in hundredths: in a group of edited copies, most where fewest were edited."""
+    if not len(popular) or not len(h):
+        return 0
+    at = np.minimum(np.searchsorted(popular, h), len(popular) - 1)
+    return int(np.where(popular[at] == h, often[at], 0).mean() * 100)
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
     """Low bits of hashes set a bit each. Halving a bitmap by or-ing its halves gives the bitmap of half the width."""
     width = max(LEAST_BITS, 1 << (BITS_EACH * len(h) - 1).bit_length()) if len(h) else LEAST_BITS
@@ -132,7 +142,7 @@ def _popular(docs: DataFrame, words: int, scratch: Scratch) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select("text")
-    counts = scratch.stage(chosen.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"))
+    counts = scratch.stage(chosen.mapInArrow(trimmed(run), "h long").groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"))
     total, least = 0, 1 << 30
     for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.col("n").desc()).collect():  # grows with the root of the sample's shingles
         total += r["k"]
@@ -146,7 +156,7 @@ def _popular(docs: DataFrame, words: int, scratch: Scratch) -> tuple[np.ndarray,
 
 
 def _profiles(docs: DataFrame, words: int, num: int, den: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, k1, k2, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set."""
+    """(doc_id, n, central, k1, k2, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,20 +165,21 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int, order: tuple[np.n
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                n, k1, k2, bits, tiles = [], [], [], [], []
+                n, middle, k1, k2, bits, tiles = [], [], [], [], [], []
                 for t in b.column("text"):
                     h = shingles(t.as_py(), words, known)
                     d = xxhash.xxh3_128_digest(h.tobytes())
                     n.append(len(h))
                     k1.append(int.from_bytes(d[:8], "little", signed=True))
                     k2.append(int.from_bytes(d[8:], "little", signed=True))
+                    middle.append(central(h, popular, often))
                     bits.append(bitmap(h))
                     tiles.append(tile_keys(h, bands, popular, often).view(np.int64))
-                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "k1", "k2", "bits", "tiles"])
+                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(middle, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "central", "k1", "k2", "bits", "tiles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits array<long>, tiles array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n int, central long, k1 long, k2 long, bits array<long>, tiles array<long>")
 
 
 def _enough(shared: Column, na: Column, nb: Column, num: int, den: int) -> Column:
@@ -231,11 +242,11 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) ->
                         break
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components, of sizes that allow a link, that share enough tiles.
+    """Pairs (a, b, tiles) of different components, of sizes that allow a link, that share enough tiles.
 
     mixed: (tile, node, n, label, nodes) of the tiles that hold more than one label, with the tile's
     number of rows. Tiles of more than BLOCK nodes are cut into blocks that are compared two at a time.
@@ -302,9 +313,9 @@ def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
             yield from groups(rest, [len(rest[0])])
         yield flush()
 
-    rows = rows.mapInArrow(run, "a long, b long, n long, tiles long")
+    rows = rows.mapInArrow(trimmed(run), "a long, b long, n long, tiles long")
     found = rows.groupBy("a", "b").agg(F.sum("tiles").alias("tiles"), F.min("n").alias("n"))
-    return found.where(F.col("tiles") >= shared_tiles(F.col("n"), num, den)).select("a", "b")
+    return found.where(F.col("tiles") >= shared_tiles(F.col("n"), num, den)).select("a", "b", "tiles")
 
 
 def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, den: int) -> DataFrame:
@@ -318,20 +329,20 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     """
     docs = small_batches(docs).where("doc_id IS NOT NULL")
     rows = scratch.stage(_profiles(docs, words, num, den, _popular(docs, words, scratch)))
-    light = rows.select("doc_id", "n", "k1", "k2")
-    own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")))
+    light = rows.select("doc_id", "n", "central", "k1", "k2")
+    own = scratch.stage(light.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("central").alias("central")))
     # a tile row is two longs: equal sets have one k1, which stands for them until tiles of one set are gone
     tiles = rows.where("n > 0").select("k1", F.explode("tiles").alias("tile"))
     of_tile = Window.partitionBy("tile")
     shared = tiles.withColumns({"lo": F.min("k1").over(of_tile), "hi": F.max("k1").over(of_tile)}).where("lo < hi")
     shared = scratch.stage(shared.select("tile", "k1").distinct())
-    members = shared.join(own.drop("k2"), "k1").select("tile", "node", "n", F.min(F.struct("node", "n")).over(of_tile).alias("lo"))
+    members = shared.join(own.drop("k2"), "k1").select("tile", "node", "n", F.max(F.struct("central", (-F.col("node")).alias("last"), "node", "n")).over(of_tile).alias("mid"))
     members = scratch.stage(members)
     sketches = rows.select("doc_id", "n", "bits")
-    first = members.where("lo.node < node").groupBy(F.col("lo.node").alias("a"), F.col("node").alias("b"))
-    first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("n", "lo.n")).alias("n")).where(F.col("tiles") >= shared_tiles(F.col("n"), num, den))
-    likely = Window.partitionBy("b").orderBy(F.col("tiles").desc(), "a")  # a node is in many tiles, whose smallest nodes differ
-    first = first.withColumn("nth", F.row_number().over(likely)).where(F.col("nth") <= STAR).select("a", "b")
+    first = members.where("mid.node <> node").groupBy(F.least("mid.node", "node").alias("a"), F.greatest("mid.node", "node").alias("b"), F.col("node").alias("from"))
+    first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("n", "mid.n")).alias("n")).where(F.col("tiles") >= shared_tiles(F.col("n"), num, den))
+    likely = Window.partitionBy("from").orderBy(F.col("tiles").desc(), "a", "b")  # a node is in many tiles, whose middles differ
+    first = first.withColumn("nth", F.row_number().over(likely)).where(F.col("nth") <= STAR).select("a", "b").distinct()
     star = scratch.stage(_bounded(scratch.stage(first), sketches, num, den))
     edges = scratch.stage(_exact(star, docs, words, num, den))
     labels = components(edges, scratch)
@@ -339,11 +350,23 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     labelled = members.select("tile", "node", "n").join(labels, "node", "left").select("tile", "node", "n", label)
     mixed = labelled.withColumns({"l": F.min("label").over(of_tile), "h": F.max("label").over(of_tile), "nodes": F.count(F.lit(1)).over(of_tile)}).where("l < h")
     alike = scratch.stage(_across(scratch.stage(mixed.select("tile", "node", "n", "label", "nodes")), num, den).join(star, ["a", "b"], "left_anti"))
-    more = scratch.stage(_bounded(alike, sketches, num, den))
-    if more.limit(1).count():
-        more = scratch.stage(_exact(more, docs, words, num, den))
-        if more.limit(1).count():
-            labels = components(edges.union(more), scratch)
+    # pairs that share most tiles first, a few for each node, then more, then all, as long as their components differ
+    for most in (STAR, STAR * 16, None):
+        named = labels.toDF("a", "la"), labels.toDF("b", "lb")
+        open_ = alike.join(named[0], "a", "left").join(named[1], "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        alike = scratch.stage(open_.select("a", "b", "tiles"))
+        if not alike.limit(1).count():
+            break
+        now = alike
+        if most is not None:
+            ends = alike.select("*", F.explode(F.array("a", "b")).alias("from"))
+            order = Window.partitionBy("from").orderBy(F.col("tiles").desc(), "a", "b")
+            now = scratch.stage(ends.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("a", "b").distinct())
+            alike = alike.join(now, ["a", "b"], "left_anti")
+        found = scratch.stage(_exact(scratch.stage(_bounded(now.select("a", "b"), sketches, num, den)), docs, words, num, den))
+        if found.limit(1).count():
+            edges = edges.union(found)
+            labels = components(edges, scratch)
     # from sets to documents, and documents that share an id or a set to one component
     of_set = scratch.stage(own.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")))
     out = light.join(of_set, ["k1", "k2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

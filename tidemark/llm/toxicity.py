@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small_batches, table, trimmed
 
 #: Bounds of the labelled sample: documents and bytes a class that are expected, bytes of one document; one in CALIBRATE calibrates, the others are counted.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT, CALIBRATE = 4000, 64 << 20, 8 << 20, 4
@@ -176,8 +176,8 @@ def _part_counts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     def done(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["word", "n", "contexts"])
 
-    rows = small_batches(docs).select("text").mapInArrow(deal, "word long, part int, n long, lefts binary")
-    return rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(merged, "word long, n long, contexts long")
+    rows = small_batches(docs).select("text").mapInArrow(trimmed(deal), "word long, part int, n long, lefts binary")
+    return rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(trimmed(merged), "word long, n long, contexts long")
 
 
 def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) -> tuple[np.ndarray, float]:
@@ -201,7 +201,7 @@ def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([pa.array([len(known)], pa.int64()), pa.array([others], pa.float64())], names=["id", "contexts"])
 
     out = np.zeros(len(vocabulary) + 1)
-    for t in _part_counts(docs, frequent).select("word", "contexts").mapInArrow(pick, "id long, contexts double").toArrow().to_batches():
+    for t in _part_counts(docs, frequent).select("word", "contexts").mapInArrow(trimmed(pick), "id long, contexts double").toArrow().to_batches():
         np.add.at(out, t.column(0).to_numpy(), t.column(1).to_numpy())
     return out[:-1], out.sum() + 0.5 * len(vocabulary)
 
@@ -309,7 +309,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             scores = pa.array([m.score(t.as_py()) for t in b.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], scores], names=[*names, "toxic_score"])
 
-    return small_batches(docs).mapInArrow(run, docs.select(*names).schema.add("toxic_score", "double"))
+    return small_batches(docs).mapInArrow(trimmed(run), docs.select(*names).schema.add("toxic_score", "double"))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

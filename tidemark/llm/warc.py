@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, delete, shared_dir, small_batches, table
+from tidemark.llm.common import Scratch, delete, shared_dir, small_batches, table, trimmed
 
 MIN_REVISIT_BYTES, ROLL_BYTES, SHARD_BYTES = 1000, 8 << 20, 24 << 20
 #: Shards are larger than SHARD_BYTES where there would be more of them than this (from 1.5 TB on): the driver holds their bounds.
@@ -232,8 +232,8 @@ def write_archives(pages: DataFrame, uri: str, *, min_revisit_bytes: int = MIN_R
 
         store, folder = _store(uri)
         store.create_dir(f"{folder}/tmp", recursive=True)
-        staged = scratch.stage(rows.mapInArrow(run, f"{_MANIFEST}, temporary string"))
-        staged.mapInArrow(place, _MANIFEST).write.parquet(f"{uri}/manifest-uncommitted")
+        staged = scratch.stage(rows.mapInArrow(trimmed(run), f"{_MANIFEST}, temporary string"))
+        staged.mapInArrow(trimmed(place), _MANIFEST).write.parquet(f"{uri}/manifest-uncommitted")
         store.delete_dir(f"{folder}/tmp")  # what attempts that failed have left
         store.move(f"{folder}/manifest-uncommitted", f"{folder}/manifest")  # the commit
     finally:
@@ -323,7 +323,7 @@ def read_archives(spark: SparkSession, uri: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return files.repartition(spark.sparkContext.defaultParallelism * 2, "file").mapInArrow(run, _READ)
+    return files.repartition(spark.sparkContext.defaultParallelism * 2, "file").mapInArrow(trimmed(run), _READ)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
