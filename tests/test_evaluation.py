@@ -95,3 +95,38 @@ def test_hardened_never_leaves_cold_start(accepted):
 def test_unknown_profile():
     with pytest.raises(ValueError):
         get_profile("NONE")
+
+
+@pytest.mark.parametrize("comparisons", [1_000_000, 4])
+def test_clusters_against_brute_force(spark, monkeypatch, comparisons):
+    """Undecided pairs of cells, compared at once or cut again and again."""
+    import random
+
+    from tidemark.operators import similarity
+    from tidemark.shared import Scratch
+
+    monkeypatch.setattr(similarity, "COMPARISONS", comparisons)
+    rnd = random.Random(2)
+    rows = []
+    for i in range(160):
+        v = [rnd.gauss(1, 0.4), rnd.random(), rnd.random(), rnd.random()]
+        norm = sum(x * x for x in v) ** 0.5
+        rows.append(("b", i, f"d{i % 3}", f"m{i % 7}", *[x / norm for x in v]))
+    frame = spark.createDataFrame(rows, "bucket string, idx long, domain_id string, merchant_id string, x0 double, x1 double, x2 double, x3 double")
+    for threshold in (0.92, 0.995):
+        scratch = Scratch(spark)
+        got = {r["idx"]: (r["cluster_id"], r["cluster_size"]) for r in scratch.finish(similarity.clusters(frame, ["bucket"], threshold, scratch)).collect()}
+        up = {r[1]: r[1] for r in rows}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a in rows:
+            for b in rows[: a[1]]:
+                if (a[2] == b[2] or a[3] == b[3]) and sum(x * y for x, y in zip(a[4:], b[4:])) >= threshold:
+                    x, y = root(a[1]), root(b[1])
+                    up[max(x, y)] = min(x, y)
+        roots = {i: root(i) for i in up}
+        assert got == {i: (r, sum(v == r for v in roots.values())) for i, r in roots.items()}
