@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ DISCOUNT, CLIP, POWER = 0.75, 8.0, 4
 RELIABLE = 8.0
 #: Words with more than one place of FREQUENT are dealt in PARTS; a task sends its counts after so many PLACES.
 FREQUENT, PARTS, PLACES = 2000, 32, 1 << 22
+#: Buckets of words for each shuffle partition; tells the parts of a word apart.
+BUCKETS, _PART = 8, np.uint64(0x9E3779B97F4A7C15)
 
 _keep = b"abcdefghijklmnopqrstuvwxyz0123456789'"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _keep else 32 for c in range(256))
@@ -113,25 +116,35 @@ def corpus_counts(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFr
 def _part_counts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     """The same, where a frequent word has a row for each of its parts, whose sums are the word's.
 
-    Tasks send each word's distinct left words as packed hashes (32 bits, told apart a word); what is equal between tasks
-    counts once, exactly but for collisions. frequent (hashes, sorted) are dealt in PARTS by left word, so that no task holds all of one.
+    Tasks send the distinct left words of their words as hashes (32 bits, told apart a word), packed a bucket of words; what is equal between
+    tasks counts once, exactly but for collisions. frequent (hashes, sorted) are dealt in PARTS by left word, so that no task holds all of one.
     """
-    held = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if frequent is None else frequent)
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(np.zeros(0, np.uint64) if frequent is None else frequent)
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def packed(ids: _Ids, keys: np.ndarray) -> pa.RecordBatch:
         keys, n = np.unique(keys, return_counts=True)
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
         w, left = keys >> 32, keys & 0xFFFFFFFF  # left is 0 where a text begins
         lh = np.append(np.uint64(0), h)[left]
-        part = np.where(np.isin(h, held.value)[w], lh % np.uint64(PARTS), np.uint64(0)).astype(np.int64)
-        order = np.argsort(w * PARTS + part, kind="stable")
-        w, part, left, lh, n = w[order], part[order], left[order], lh[order], n[order]
-        start = np.flatnonzero(np.append(True, np.diff(w * PARTS + part) != 0))
+        part = np.where(np.isin(h, held.value)[w], lh % np.uint64(PARTS), np.uint64(0))
+        key = h[w] + part * _PART
+        bucket = (key * _PART >> np.uint64(33)) % np.uint64(buckets)
+        order = np.lexsort((key, bucket))
+        key, part, bucket, left, lh, n = key[order], part[order], bucket[order], left[order], lh[order], n[order]
+        start = np.flatnonzero(np.append(True, np.diff(key) != 0))  # equal keys are of one bucket
         size = np.add.reduceat((left > 0).astype(np.int64), start)
-        data = (lh[left > 0] >> np.uint64(32)).astype(np.uint32)
-        ends = np.append(0, np.cumsum(size * 4)).astype(np.int32)
-        lefts = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-        return pa.RecordBatch.from_arrays([pa.array(h[w[start]].view(np.int64)), pa.array(part[start].astype(np.int32)), pa.array(np.add.reduceat(n, start)), lefts], names=["word", "part", "n", "lefts"])
+        n, lefts = np.add.reduceat(n, start), (lh[left > 0] >> np.uint64(32)).astype(np.uint32)
+        key, part, bucket = key[start], part[start].astype(np.uint8), bucket[start].astype(np.int32)
+        ends = np.append(0, np.cumsum(size))
+        first = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        data = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            columns = [np.array([b - a], np.uint32), key[a:b], part[a:b], n[a:b].astype(np.uint32), size[a:b].astype(np.uint32), lefts[ends[a] : ends[b]]]
+            data.append(zip_(b"".join(c.tobytes() for c in columns)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, places = _Ids(), [], 0
@@ -148,36 +161,44 @@ def _part_counts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
         if places:
             yield packed(ids, np.concatenate(keys))
 
+    def unpacked(data: bytes) -> list[np.ndarray]:
+        """(key, part, n, size, lefts)"""
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        count, at, out = int.from_bytes(raw[:4], "little"), 4, []
+        for kind in (np.uint64, np.uint8, np.uint32, np.uint32):
+            out.append(np.frombuffer(raw, kind, count, at))
+            at += count * out[-1].itemsize
+        return [*out, np.frombuffer(raw, np.uint32, offset=at)]
+
+    def together(some: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """The same of several, each word once and each of its left words once."""
+        key, part, n, size, lefts = (np.concatenate(c) for c in zip(*some, strict=True))
+        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+        pairs = np.unique(np.repeat(at, size) << 32 | lefts)
+        return [key, part[first], np.bincount(at, weights=n).astype(np.int64), np.bincount(pairs >> 32, minlength=len(key)), (pairs & 0xFFFFFFFF).astype(np.uint32)]
+
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of word and part; the last word of a batch waits for the next one."""
-        last = None
+        here, some, waiting = None, [], 0
+
+        def done() -> pa.RecordBatch:
+            key, part, n, size, _ = together(some)
+            return pa.RecordBatch.from_arrays([pa.array((key - part * _PART).view(np.int64)), pa.array(n, pa.int64()), pa.array(size, pa.int64())], names=["word", "n", "contexts"])
+
         for b in batches:
-            word, part, n = (b.column(i).to_numpy() for i in range(3))
-            ends = np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset :][: len(word) + 1]
-            raw = b.column(3).buffers()[2]
-            lefts = np.frombuffer(raw, np.uint32, (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.uint32)
-            new = np.append(True, (np.diff(word) != 0) | (np.diff(part) != 0))
-            group = np.cumsum(new) - 1
-            start = np.flatnonzero(new)
-            pairs = np.unique(np.repeat(group, np.diff(ends) // 4) << 32 | lefts)
-            word, part, n = word[start], part[start], np.add.reduceat(n, start)
-            if last and last[:2] == (word[0], part[0]):
-                first = np.union1d(last[3], pairs[pairs >> 32 == 0])
-                n[0] += last[2]
-                pairs = np.concatenate([first, pairs[pairs >> 32 > 0]])
-            elif last:
-                yield done([last[0]], [last[2]], [len(last[3])])
-            sizes = np.bincount(pairs >> 32, minlength=len(word))
-            last = word[-1], part[-1], n[-1], pairs[len(pairs) - sizes[-1] :] & 0xFFFFFFFF
-            yield done(word[:-1], n[:-1], sizes[:-1])
-        if last:
-            yield done([last[0]], [last[2]], [len(last[3])])
-
-    def done(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["word", "n", "contexts"])
-
-    rows = small_batches(docs).select("text").mapInArrow(trimmed(deal), "word long, part int, n long, lefts binary")
-    return rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(trimmed(merged), "word long, n long, contexts long")
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bucket != here:
+                    if some:
+                        yield done()
+                    here, some, waiting = bucket, [], 0
+                some.append(unpacked(data.as_py()))
+                waiting += len(some[-1][-1])
+                if waiting > PLACES:
+                    some, waiting = [together(some)], 0
+        if some:
+            yield done()
+
+    rows = small_batches(docs).select("text").mapInArrow(trimmed(deal), "bucket int, data binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(merged), "word long, n long, contexts long")
 
 
 def _contexts(docs: DataFrame, vocabulary: list[bytes], frequent: np.ndarray) -> tuple[np.ndarray, float]:
