@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import hash_unit
 from tidemark.profiles import Profile
-from tidemark.shared import Scratch, components
+from tidemark.shared import Scratch, components, extended
 
 _X = ["x0", "x1", "x2", "x3"]
 #: Comparisons of rows that an undecided pair of cells may take; larger ones are cut, CUTS times at most (a cell's side is then a 64th).
@@ -83,8 +83,8 @@ def clusters(vectors: DataFrame, keys: list[str], threshold: float, scratch: Scr
     two = a.join(b, [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]).where("a.cell < b.cell")
     two = scratch.stage(_decided(two, reach, [F.col(f"a.{g}") for g in group]))
     edges = scratch.stage(own.union(two.where("sure").select("a", "b")))
+    labels = components(edges, scratch)
     for cut in range(CUTS + 1):
-        labels = components(edges, scratch)
         la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
         open_ = two.where("NOT sure").join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
         open_ = scratch.stage(open_)
@@ -97,6 +97,9 @@ def clusters(vectors: DataFrame, keys: list[str], threshold: float, scratch: Scr
         dot = sum((F.col(x) * F.col(f"y_{x}") for x in _X[1:]), F.col("x0") * F.col("y_x0"))
         more = tested.where(dot >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
         many = open_.where(~few)
+        if not many.limit(1).count():
+            labels = extended(labels, more, scratch)
+            break
         # smaller cells of what is left, each within its cell
         inner = F.struct(*[F.floor(F.col(x) / (side / 2 ** (cut + 1))).cast("int").alias(x) for x in _X])
         held = many.select(*group, F.col("cell_a").alias("cell")).union(many.select(*group, "cell_b")).distinct()
@@ -106,7 +109,7 @@ def clusters(vectors: DataFrame, keys: list[str], threshold: float, scratch: Scr
         pairs_ = many.select(*group, "cell_a", "cell_b").join(sides[0], [*group, "cell_a"]).join(sides[1], [*group, "cell_b"])
         two = scratch.stage(_decided(pairs_, reach, [F.col(g) for g in group], "inner"))
         points = finer.drop("cell").withColumnRenamed("inner", "cell")
-        edges = scratch.stage(edges.union(more).union(two.where("sure").select("a", "b")))
+        labels = extended(labels, more.union(two.where("sure").select("a", "b")), scratch)
     named = joined.select(*keys, "idx", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = scratch.stage(named)
     sizes = named.groupBy("component").agg(F.min("idx").alias("cluster_id"), F.count(F.lit(1)).alias("cluster_size"))

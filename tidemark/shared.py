@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of at most three longs that may be broadcast after they were counted (about 10 MB).
 BROADCAST_ROWS = 200_000
 
+#: Hooks that are followed by one staged table of components().
+JUMPS = 3
+
 _own_dir: list[str] = []
 
 
@@ -95,8 +98,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b): (node, component), component being the smallest node.
 
-    Every round hooks each node to its smallest neighbour, follows the hooks to their roots by
-    pointer doubling and keeps the edges between different roots, so rounds grow with the
+    Every round hooks each node to its smallest neighbour, follows the hooks to their roots, each step of which
+    makes their chains shorter by a factor of JUMPS + 1, and keeps the edges between different roots, so rounds grow with the
     logarithm of the graph. Only joins and min aggregates on (long, long) rows are used:
     groups of any size are pre-aggregated before the shuffle, and hot join keys can be split.
     """
@@ -108,8 +111,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         hooks = e.select(F.col("b").alias("node"), F.col("a").alias("up")).union(e.select(F.col("a").alias("node"), F.col("a").alias("up")))
         up = scratch.stage(hooks.groupBy("node").agg(F.min("up").alias("up")))
         while True:
-            r = up.select(F.col("node").alias("r_node"), F.col("up").alias("r_up"))
-            jumped = scratch.stage(up.join(r, up["up"] == r["r_node"]).select("node", F.col("r_up").alias("up"), (F.col("up") != F.col("r_up")).alias("moved")))
+            jumped = up.select("node", "up")
+            for i in range(JUMPS):
+                r = up.select(F.col("node").alias(f"n{i}"), F.col("up").alias(f"u{i}"))
+                jumped = jumped.join(r, F.col("up" if i == 0 else f"u{i - 1}") == F.col(f"n{i}")).drop(f"n{i}")
+            jumped = scratch.stage(jumped.select("node", F.col(f"u{JUMPS - 1}").alias("up"), (F.col("up") != F.col(f"u{JUMPS - 1}")).alias("moved")))
             up = jumped.select("node", "up")
             if jumped.where("moved").limit(1).count() == 0:
                 break
@@ -124,3 +130,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         e = scratch.stage(between.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if e.limit(1).count() == 0:
             return labels.select("node", F.col("up").alias("component"))
+
+
+def extended(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """components() of a graph, given the labels (node, component) of it without some edges (a, b): only these are followed."""
+    ra, rb = labels.toDF("a", "ra"), labels.toDF("b", "rb")
+    between = edges.select("a", "b").join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = components(between.where("a <> b"), scratch)
+    up = more.toDF("r_node", "r_up")
+    old = labels.join(up, labels["component"] == up["r_node"], "left").select("node", F.coalesce("r_up", "component").alias("component"))
+    return scratch.stage(old.union(more.join(labels.select("node"), "node", "left_anti").select("node", "component")))
