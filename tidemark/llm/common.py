@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.shared import BROADCAST_ROWS, Scratch, components, delete, shared_dir, small
+from tidemark.shared import BROADCAST_ROWS, Scratch, components, delete, extended, shared_dir, small
 
 #: Rows of an Arrow batch of whole texts: a worker and its executor hold a few batches each.
 BATCH_ROWS = 1000
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "components", "delete", "shared_dir", "small", "small_batches", "table", "trimmed"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "components", "delete", "extended", "shared_dir", "small", "small_batches", "table", "trimmed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, components, small, small_batches, table, trimmed
+from tidemark.llm.common import Scratch, components, extended, small, small_batches, table, trimmed
 
 #: A bitmap has so many bits for each shingle, rounded up to a power of two; fuller ones bound too little.
 BITS_EACH, LEAST_BITS = 8, 512
@@ -344,8 +344,7 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     likely = Window.partitionBy("from").orderBy(F.col("tiles").desc(), "a", "b")  # a node is in many tiles, whose middles differ
     first = first.withColumn("nth", F.row_number().over(likely)).where(F.col("nth") <= STAR).select("a", "b").distinct()
     star = scratch.stage(_bounded(scratch.stage(first), sketches, num, den))
-    edges = scratch.stage(_exact(star, docs, words, num, den))
-    labels = components(edges, scratch)
+    labels = components(scratch.stage(_exact(star, docs, words, num, den)), scratch)
     label = F.coalesce("component", "node").alias("label")
     labelled = members.select("tile", "node", "n").join(labels, "node", "left").select("tile", "node", "n", label)
     mixed = labelled.withColumns({"l": F.min("label").over(of_tile), "h": F.max("label").over(of_tile), "nodes": F.count(F.lit(1)).over(of_tile)}).where("l < h")
@@ -365,8 +364,7 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
             alike = alike.join(now, ["a", "b"], "left_anti")
         found = scratch.stage(_exact(scratch.stage(_bounded(now.select("a", "b"), sketches, num, den)), docs, words, num, den))
         if found.limit(1).count():
-            edges = edges.union(found)
-            labels = components(edges, scratch)
+            labels = extended(labels, found, scratch)
     # from sets to documents, and documents that share an id or a set to one component
     of_set = scratch.stage(own.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")))
     out = light.join(of_set, ["k1", "k2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
