@@ -63,8 +63,9 @@ def near_copies(rnd, n):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("words,num,den", [(3, 90, 100), (5, 80, 100)])
-def test_shingle_join(spark, words, num, den):
+@pytest.mark.parametrize("words,num,den,dense", [(3, 90, 100, 128), (5, 80, 100, 128), (5, 80, 100, 2)])
+def test_shingle_join(spark, monkeypatch, words, num, den, dense):
+    monkeypatch.setattr(shingle_join, "DENSE", dense)
     docs = near_copies(random.Random(words), 260)
     docs += [(1000, None), (1001, ""), (1002, " \t"), (1003, "One two"), (1004, "one TWO"), (3, docs[3][1]), (5, docs[40][1]), (None, "x"), (1005, "\x85a b c"), (1006, "w " * 9000)]
     df = spark.createDataFrame(docs, DOCS).selectExpr("*", "0 AS tile", "1 AS node", "2 AS n")
@@ -78,9 +79,11 @@ def test_shingle_join(spark, words, num, den):
     assert len({d for d in want if want[d] != d}) > 30
 
 
-def test_blocks_compare_all(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [1000, 3])
+def test_blocks_compare_all(spark, monkeypatch, dense):
     """Groups larger than a block, none linked with the smallest: found by the comparison across components."""
     monkeypatch.setattr(shingle_join, "BLOCK", 4)
+    monkeypatch.setattr(shingle_join, "DENSE", dense)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     docs = []

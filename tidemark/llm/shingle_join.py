@@ -37,6 +37,8 @@ BITS_EACH, LEAST_BITS = 8, 512
 BAND_RATIO, BLOCK, LEAST = 1.5, 512, 3
 #: The sample for the order: a share of the documents, but so many at least; and its most frequent shingles, broadcast (12 bytes each).
 SAMPLE_SHARE, SAMPLE_DOCS, POPULAR = 0.01, 10_000, 1_000_000
+#: Nodes of a tile from which on their bitmaps travel with them, instead of its pairs.
+DENSE = 128
 #: Middles of its tiles with which a node is compared first; pairs that a task holds before it sends them.
 STAR, HELD = 3, 1 << 19
 _CACHE = 200_000
@@ -130,6 +132,12 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def halved(bits: np.ndarray, to: int) -> np.ndarray:
+    while len(bits) > to:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def _popular(docs: DataFrame, words: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """(shingles sorted, documents that hold them) of those that two documents of the sample or more hold, POPULAR at most."""
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, docs.count())))
@@ -245,17 +253,70 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) ->
     return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """mixed (tile, node, n, label, nodes) -> a row for each pair of blocks (tile, i, j) that a node's own block is in, about BLOCK nodes each."""
+    blocks = F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int")
+    rows = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n")
+
+
+def _across_dense(mixed: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a tile and whose bitmaps allow enough overlap, for tiles of many nodes.
+
+    Here a tile's nodes bring their bitmaps, once for each pair of blocks, as most of its pairs would share enough tiles:
+    a large group of copies that were edited a little too much for links takes no row for each of its pairs.
+    """
+    s = sketches.select(F.col("doc_id").alias("node"), "bits")
+    rows = _blocks(mixed).join(s, "node").select("tile", "i", "j", "own", "node", "label", "n", "bits")
+    rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own")
+
+    def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        *ints, raw = zip(*group, strict=True)
+        _, i, j, own, node, label, n = (np.array(c, np.int64) for c in ints)
+        least = min(map(len, raw))
+        bits = np.array([halved(x, least) for x in raw]).view(np.uint64)
+        for x in np.flatnonzero(own == i[0]):
+            later = node > node[x] if i[0] == j[0] else own == j[0]
+            y = np.flatnonzero(later & (label != label[x]) & (np.minimum(n, n[x]) * den >= np.maximum(n, n[x]) * num))
+            if len(y):
+                x_lacks = np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64)
+                y_lacks = np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64)
+                y = y[np.minimum(n[x] - y_lacks, n[y] - x_lacks) * (num + den) >= num * (n[x] + n[y])]
+                yield from ((min(node[x], v), max(node[x], v)) for v in node[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        found: set[tuple[int, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found.clear()
+            return batch
+
+        for r in batches:
+            cols = [c.to_pylist() for c in r.columns[:-1]] + [[np.array(x.as_py(), np.int64) for x in r.columns[-1]]]
+            for row in zip(*cols, strict=True):
+                if group and row[:3] != group[0][:3]:
+                    found.update(pairs_of(group))
+                    group = []
+                    if len(found) > 50_000:
+                        yield flush()
+                group.append(row)
+        if group:
+            found.update(pairs_of(group))
+        yield flush()
+
+    return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
+
+
 def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b, tiles) of different components, of sizes that allow a link, that share enough tiles.
 
     mixed: (tile, node, n, label, nodes) of the tiles that hold more than one label, with the tile's
     number of rows. Tiles of more than BLOCK nodes are cut into blocks that are compared two at a time.
     """
-    blocks = F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int")
-    rows = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n")
-    rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own")
+    rows = _blocks(mixed).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own")
 
     def pairs_of(node, label, n, left, right) -> list[np.ndarray]:
         """(a, b, the smaller size) of the rows left x right; of one block, each pair once."""
@@ -348,7 +409,12 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     label = F.coalesce("component", "node").alias("label")
     labelled = members.select("tile", "node", "n").join(labels, "node", "left").select("tile", "node", "n", label)
     mixed = labelled.withColumns({"l": F.min("label").over(of_tile), "h": F.max("label").over(of_tile), "nodes": F.count(F.lit(1)).over(of_tile)}).where("l < h")
-    alike = scratch.stage(_across(scratch.stage(mixed.select("tile", "node", "n", "label", "nodes")), num, den).join(star, ["a", "b"], "left_anti"))
+    mixed = scratch.stage(mixed.select("tile", "node", "n", "label", "nodes"))
+    # linked sets share a dense tile, or enough others
+    near = scratch.stage(_across_dense(mixed.where(F.col("nodes") > DENSE), sketches, num, den).join(star, ["a", "b"], "left_anti"))
+    if near.limit(1).count():
+        labels = extended(labels, scratch.stage(_exact(near, docs, words, num, den)), scratch)
+    alike = scratch.stage(_across(mixed.where(F.col("nodes") <= DENSE), num, den).join(star, ["a", "b"], "left_anti"))
     # pairs that share most tiles first, a few for each node, then more, then all, as long as their components differ
     for most in (STAR, STAR * 16, None):
         named = labels.toDF("a", "la"), labels.toDF("b", "lb")
