@@ -30,7 +30,7 @@ from tidemark.llm.common import small_batches, table, trimmed
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Chunks in either of the two tables that a worker remembers (about 250 bytes each): when the young one is full, it becomes the old one.
-CACHE = 100_000
+CACHE = 300_000
 #: Texts that are encoded together, and of which one is compared with the library.
 TOGETHER = 256
 #: Texts of more characters are not preferred when the one to compare is chosen.
