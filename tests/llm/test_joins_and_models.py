@@ -101,6 +101,31 @@ def test_blocks_compare_all(spark, monkeypatch, dense):
     assert links and got == groups([d for d, _ in docs], links)
 
 
+def test_common_passages_make_no_pairs(spark, monkeypatch):
+    """Documents put together from the same passages share tiles, but are not alike: their pairs are ruled out before they are sent."""
+    made = spark.sparkContext.accumulator(0)
+    trimmed = shingle_join.trimmed
+
+    def counted(run):
+        def counting(batches):
+            for out in run(batches):
+                if out.schema.names == ["a", "b", "n", "tiles"]:
+                    made.add(out.num_rows)
+                yield out
+
+        return trimmed(counting)
+
+    monkeypatch.setattr(shingle_join, "trimmed", counted)
+    rnd = random.Random(4)
+    passages = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(80)]
+    docs = [(i, " ".join(rnd.sample(passages, 20))) for i in range(200)]
+    docs += [(500 + i, f"{t} more{i}") for i, t in docs[:5]]
+    scratch = Scratch(spark)
+    got = {r["doc_id"]: r["component_id"] for r in scratch.finish(shingle_join.jaccard_groups(spark.createDataFrame(docs, DOCS), scratch, words=5, num=80, den=100)).collect()}
+    assert got == {d: d - 500 if d >= 500 else d for d, _ in docs}
+    assert made.value < 200
+
+
 def test_no_documents(spark):
     scratch = Scratch(spark)
     assert scratch.finish(shingle_join.jaccard_groups(spark.createDataFrame([], DOCS), scratch, words=3, num=90, den=100)).count() == 0

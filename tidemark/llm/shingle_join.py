@@ -6,8 +6,8 @@ Tiles: within a band, a tile holds the sets that have one shingle among their fi
 shingles alike, by how many documents of a sample hold them: rare ones first. Of n shingles, linked sets share
 n * num / den or more, so that they share LEAST of their first n - n * num / den + LEAST (see tile_keys): no
 link is lost, whatever the sample is, and passages that many documents hold make no tiles for
-documents that have enough else. Tiles carry ids and sizes only; a pair's shared tiles are counted, and pairs that
-share fewer than LEAST are dropped.
+documents that have enough else. Tiles carry ids, sizes and brief bitmaps; a pair that these rule out is never sent.
+The shared tiles of other pairs are counted, and pairs that share fewer than LEAST are dropped.
 Bitmaps: a set's hashed bitmap bounds an overlap from above: every bit that one has and the other
 lacks is at least one shingle that is not shared. Of the pairs left, those whose bound falls short are
 dropped. Then the sorted shingle arrays of what is left are intersected exactly.
@@ -34,6 +34,8 @@ from tidemark.llm.common import Scratch, components, extended, small, small_batc
 
 #: A bitmap has so many bits for each shingle, rounded up to a power of two; fuller ones bound too little.
 BITS_EACH, LEAST_BITS = 8, 512
+#: A brief bitmap, which travels with every tile row; beyond about so many shingles it is full and rules out little.
+BRIEF_BITS = 1024
 BAND_RATIO, BLOCK, LEAST = 1.5, 512, 3
 #: The sample for the order: a share of the documents, but so many at least; and its most frequent shingles, broadcast (12 bytes each).
 SAMPLE_SHARE, SAMPLE_DOCS, POPULAR = 0.01, 10_000, 1_000_000
@@ -41,6 +43,8 @@ SAMPLE_SHARE, SAMPLE_DOCS, POPULAR = 0.01, 10_000, 1_000_000
 DENSE = 128
 #: Middles of its tiles with which a node is compared first; pairs that a task holds before it sends them.
 STAR, HELD = 3, 1 << 19
+#: Pairs whose brief bitmaps are compared at a time.
+JUDGED = 1 << 15
 _CACHE = 200_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -132,6 +136,13 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def brief(h: np.ndarray) -> bytes:
+    """bitmap() in BRIEF_BITS, whatever the set's size."""
+    bits = np.zeros(BRIEF_BITS, bool)
+    bits[(h & np.uint64(BRIEF_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def halved(bits: np.ndarray, to: int) -> np.ndarray:
     while len(bits) > to:
         bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
@@ -164,7 +175,7 @@ def _popular(docs: DataFrame, words: int, scratch: Scratch) -> tuple[np.ndarray,
 
 
 def _profiles(docs: DataFrame, words: int, num: int, den: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, central, k1, k2, bits, tiles) of each row; k1 and k2 are 128 bits of the whole set."""
+    """(doc_id, n, central, k1, k2, bits, brief, tiles) of each row; k1 and k2 are 128 bits of the whole set."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +184,7 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int, order: tuple[np.n
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                n, middle, k1, k2, bits, tiles = [], [], [], [], [], []
+                n, middle, k1, k2, bits, short, tiles = [], [], [], [], [], [], []
                 for t in b.column("text"):
                     h = shingles(t.as_py(), words, known)
                     d = xxhash.xxh3_128_digest(h.tobytes())
@@ -182,12 +193,13 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int, order: tuple[np.n
                     k2.append(int.from_bytes(d[8:], "little", signed=True))
                     middle.append(central(h, popular, often))
                     bits.append(bitmap(h))
+                    short.append(brief(h))
                     tiles.append(tile_keys(h, bands, popular, often).view(np.int64))
-                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(middle, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "central", "k1", "k2", "bits", "tiles"])
+                cols = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(middle, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(tiles, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "central", "k1", "k2", "bits", "brief", "tiles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(trimmed(run), "doc_id long, n int, central long, k1 long, k2 long, bits array<long>, tiles array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n int, central long, k1 long, k2 long, bits array<long>, brief binary, tiles array<long>")
 
 
 def _enough(shared: Column, na: Column, nb: Column, num: int, den: int) -> Column:
@@ -310,23 +322,28 @@ def _across_dense(mixed: DataFrame, sketches: DataFrame, num: int, den: int) ->
     return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, tiles) of different components, of sizes that allow a link, that share enough tiles.
+def _across(mixed: DataFrame, briefs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, tiles) of different components, of sizes and brief bitmaps that allow a link, that share enough tiles.
 
     mixed: (tile, node, n, label, nodes) of the tiles that hold more than one label, with the tile's
-    number of rows. Tiles of more than BLOCK nodes are cut into blocks that are compared two at a time.
+    number of rows; briefs: (node, brief). Tiles of more than BLOCK nodes are cut into blocks that are compared two at a time.
     """
-    rows = _blocks(mixed).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own")
+    rows = _blocks(mixed).join(briefs, "node").select("tile", "i", "j", "own", "node", "label", "n", "brief")
+    rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own")
 
-    def pairs_of(node, label, n, left, right) -> list[np.ndarray]:
-        """(a, b, the smaller size) of the rows left x right; of one block, each pair once."""
+    def pairs_of(node, label, n, left, right) -> tuple[np.ndarray, np.ndarray]:
+        """The rows left x right that may be pairs; of one block, each pair once."""
         x, y = np.nonzero(
             (label[left][:, None] != label[right][None, :])
             & (np.minimum(n[left][:, None], n[right][None, :]) * den >= np.maximum(n[left][:, None], n[right][None, :]) * num)
             & ((node[left][:, None] < node[right][None, :]) if left is right else (node[left][:, None] != node[right][None, :]))
         )
-        x, y = left[x], right[y]
-        return [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(n[x], n[y])]
+        return left[x], right[y]
+
+    def allowed(n, bits, x, y) -> np.ndarray:
+        x_lacks = np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64)
+        y_lacks = np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64)
+        return np.minimum(n[x] - y_lacks, n[y] - x_lacks) * (num + den) >= num * (n[x] + n[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -344,10 +361,22 @@ def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
             cols = [a[start], b[start], n[start], np.diff(np.append(start, len(a)))]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n", "tiles"])
 
-        def groups(cols: list[np.ndarray], ends: list[int]) -> Iterator[pa.RecordBatch]:
+        def judge(cols: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]]) -> None:
             nonlocal held
-            _, i, j, own, node, label, n = cols
-            start = 0
+            node, n, bits = cols[4], cols[6], cols[7]
+            x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            for at in range(0, len(x), JUDGED):
+                p, q = x[at : at + JUDGED], y[at : at + JUDGED]
+                keep = allowed(n, bits, p, q)
+                p, q = p[keep], q[keep]
+                out.append([np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), np.minimum(n[p], n[q])])
+                held += len(p)
+            found.clear()
+
+        def groups(cols: list[np.ndarray], ends: list[int]) -> Iterator[pa.RecordBatch]:
+            _, i, j, own, node, label, n, _ = cols
+            start, waiting = 0, 0
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for end in ends:
                 if end - start > 1:
                     if i[start] == j[start]:
@@ -355,16 +384,18 @@ def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
                     else:
                         cut = start + int(np.searchsorted(own[start:end], j[start]))
                         left, right = np.arange(start, cut), np.arange(cut, end)
-                    found = pairs_of(node, label, n, left, right)
-                    if len(found[0]):
-                        out.append(found)
-                        held += len(found[0])
-                        if held > HELD:
-                            yield flush()
+                    found.append(pairs_of(node, label, n, left, right))
+                    waiting += len(found[-1][0])
+                if found and (waiting > JUDGED or end == ends[-1]):
+                    judge(cols, found)
+                    waiting = 0
+                    if held > HELD:
+                        yield flush()
                 start = end
 
         for r in batches:
-            cols = [c.to_numpy().astype(np.int64) for c in r.columns]
+            cols = [c.to_numpy().astype(np.int64) for c in r.columns[:-1]]
+            cols.append(np.frombuffer(b"".join(r.columns[-1].to_pylist()), np.uint64).reshape(-1, BRIEF_BITS // 64))
             if rest is not None:
                 cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
             ends = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
@@ -399,7 +430,7 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     shared = scratch.stage(shared.select("tile", "k1").distinct())
     members = shared.join(own.drop("k2"), "k1").select("tile", "node", "n", F.max(F.struct("central", (-F.col("node")).alias("last"), "node", "n")).over(of_tile).alias("mid"))
     members = scratch.stage(members)
-    sketches = rows.select("doc_id", "n", "bits")
+    sketches, briefs = rows.select("doc_id", "n", "bits"), rows.select(F.col("doc_id").alias("node"), "brief")
     first = members.where("mid.node <> node").groupBy(F.least("mid.node", "node").alias("a"), F.greatest("mid.node", "node").alias("b"), F.col("node").alias("from"))
     first = first.agg(F.count(F.lit(1)).alias("tiles"), F.min(F.least("n", "mid.n")).alias("n")).where(F.col("tiles") >= shared_tiles(F.col("n"), num, den))
     likely = Window.partitionBy("from").orderBy(F.col("tiles").desc(), "a", "b")  # a node is in many tiles, whose middles differ
@@ -414,7 +445,7 @@ def jaccard_groups(docs: DataFrame, scratch: Scratch, *, words: int, num: int, d
     near = scratch.stage(_across_dense(mixed.where(F.col("nodes") > DENSE), sketches, num, den).join(star, ["a", "b"], "left_anti"))
     if near.limit(1).count():
         labels = extended(labels, scratch.stage(_exact(near, docs, words, num, den)), scratch)
-    alike = scratch.stage(_across(mixed.where(F.col("nodes") <= DENSE), num, den).join(star, ["a", "b"], "left_anti"))
+    alike = scratch.stage(_across(mixed.where(F.col("nodes") <= DENSE), briefs, num, den).join(star, ["a", "b"], "left_anti"))
     # pairs that share most tiles first, a few for each node, then more, then all, as long as their components differ
     for most in (STAR, STAR * 16, None):
         named = labels.toDF("a", "la"), labels.toDF("b", "lb")
