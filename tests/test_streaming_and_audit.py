@@ -51,6 +51,47 @@ def test_jobs_of_many_times_are_one_plan(spark, monkeypatch):
     assert len(plans) == 1 and got == {f"j{i}": 101.0 for i in range(30)}
 
 
+def test_documents_in_parts():
+    """An array's elements are the same wherever a document is cut, and what is no document is known."""
+    from tidemark.sources.pieces import Splitter
+
+    def split(text, path, size):
+        s = Splitter(path)
+        found = [e for i in range(0, len(text), size) for e in s.feed(text[i : i + size])]
+        return found + s.feed("", last=True), s
+
+    rows = [{"x": '}],"{ \\', "y": [1, {"z": ",}"}]}, None, 5, "s,]", [], {}, {"p": {"q": {"r": "é"}}}]
+    for doc in ({"a": {"observations": [1]}, "observations": rows, "z": "}"}, {"observations": []}, {"x": 1}, {"observations": None}):
+        for text in (json.dumps(doc, ensure_ascii=False), json.dumps(doc, indent=2) + "\n"):
+            for size in (1, 2, 7, 1000):
+                found, s = split(text, ("observations",), size)
+                assert not s.broken and [(i, json.loads(e)) for i, e in found] == list(enumerate(doc.get("observations") or []))
+                assert json.loads(s.rest()) == doc | ({"observations": []} if doc.get("observations") else {})
+    for text in ('{"observations":[{}', '{"observations":[{}}]', '{"observations":[{},,{}]}', '{"observations":[{} {}]}', '{"observations":[{}] ', '{"observations":["a]}', "", "{not json"):
+        assert all(split(text, ("observations",), size)[1].broken for size in (1, 3, 100))
+    found, s = split('[{"observations":[1,2]},{"observations":[3]}] }', ("observations",), 2)
+    assert found == [(0, "1"), (1, "2"), (0, "3")] and s.rest() == '[{"observations":[]},{"observations":[]}]'
+
+
+def test_large_batches(spark, tmp_path, monkeypatch):
+    """Batches read element by element are those read whole, and a broken document gives no rows."""
+    from tidemark.sources import json_io, pieces
+
+    odd = [{"price": 1.50, "extra": {"a": [1]}, "source_url": "a}b\n"}, {"price": float("nan")}, None, {}, {"product_identity_layer": {"brand": "é"}}]
+    (tmp_path / "a.json").write_text(json.dumps({"observations": CASES["uniform_market"], "description": "}"}, indent=2) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({"observations": odd}, ensure_ascii=False))
+    (tmp_path / "raw.json").write_text('{"observations":[{"price": 1.50, "region": {"a" : [ 1 ]}}, {"price": 1E5}, {"product_identity_layer": "x"}]}')
+    (tmp_path / "scalar.json").write_text('{"observations":[{"price":1},5]}')
+    (tmp_path / "c.json").write_text('{"observations":[{"price":1},{"price":2}')
+    (tmp_path / "d.json").write_text('{"observations":[{"price":1},{"price":}]}')
+    (tmp_path / "e.json").write_text('{"observations":[]}')
+    read = lambda: sorted(repr(r) for r in json_io.read_batches(spark, f"{tmp_path}/*.json").collect())
+    whole = read()
+    assert len(whole) == len(CASES["uniform_market"]) + 8
+    monkeypatch.setattr(pieces, "LARGE", 0)
+    assert read() == whole
+
+
 def test_request_and_ingest(spark, tmp_path):
     from tidemark.plans import service
 
