@@ -40,6 +40,37 @@ def test_queue(spark, tmp_path):
     assert jobs.pending(spark, base).count() == 0
 
 
+def test_large_jobs(spark, tmp_path, monkeypatch):
+    """Jobs read element by element end as jobs read whole do, their records alike."""
+    from tidemark.sources import pieces
+
+    payload = {"observations": [*CASES["uniform_market"], None, {"price": "}é\n", "x": [1]}], "current_time_utc": NOW, "applied_profile": "BASE", "metadata": {"a": "b"}}
+    texts = {
+        "good": json.dumps({"job_id": "good", "created_at": 5.5, "payload": payload}, indent=2) + "\n",
+        "hardened": json.dumps({"job_id": "hardened", "created_at": 5.5, "payload": payload | {"applied_profile": "HARDENED"}}),
+        "late of[it]": json.dumps({"job_id": "late", "payload": {k: v for k, v in payload.items() if k != "current_time_utc"}}, ensure_ascii=False),
+        "nobody": json.dumps({"job_id": "nobody", "payload": payload | {"applied_profile": "NONE", "observations": []}}),
+        "bare": '{"job_id":"bare","payload":{"applied_profile":"BASE"}}',
+        "cut": json.dumps({"job_id": "cut", "payload": payload})[:-2],
+        "cut in a text": json.dumps({"job_id": "cut", "payload": payload})[:-60] + "\n",
+        "odd": json.dumps({"job_id": "odd", "payload": payload | {"observations": [{"product_identity_layer": "x"}, 5, "s", {}]}}),
+        "nan": '{"job_id":"nan","payload":{"observations":[{"price":NaN}]}}',
+    }
+
+    def worked_off(base):
+        jobs.ensure(str(base))
+        for name, text in texts.items():
+            (base / "pending" / f"{name}.json").write_text(text)
+        jobs.run(spark, str(base), common_rules(spark)).awaitTermination(300)
+        read = lambda p: {k: v for k, v in json.loads(p.read_text()).items() if k not in ("failed_at", "completed_at")}
+        return {(folder, p.name): (read(p), len(p.read_text().splitlines())) for folder in ("completed", "failed") for p in (base / folder).glob("*.json")}
+
+    whole = worked_off(tmp_path / "whole")
+    assert len(whole) == len(texts)
+    monkeypatch.setattr(pieces, "LARGE", 0)
+    assert worked_off(tmp_path / "large") == whole
+
+
 def test_jobs_of_many_times_are_one_plan(spark, monkeypatch):
     from tidemark.plans import evaluation
 

@@ -22,9 +22,26 @@ def put(at: fs.FileSystem, folder: str, name: str, data: bytes) -> None:
     temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
     with at.open_output_stream(temporary, compression=None) as out:
         out.write(data)
-    if not isinstance(at, fs.LocalFileSystem) and at.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound:
-        at.delete_file(f"{folder}/{name}")
-    at.move(temporary, f"{folder}/{name}")
+    _named(at, temporary, f"{folder}/{name}")
+
+
+def _named(at: fs.FileSystem, temporary: str, path: str) -> None:
+    if not isinstance(at, fs.LocalFileSystem) and at.get_file_info(path).type != fs.FileType.NotFound:
+        at.delete_file(path)
+    at.move(temporary, path)
+
+
+class Opened:
+    """One file that is written in parts; close() gives it its name, as put() does."""
+
+    def __init__(self, at: fs.FileSystem, folder: str, name: str):
+        self.at, self.folder, self.name = at, folder, name
+        self.temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
+        self.out = at.open_output_stream(self.temporary, compression=None)
+
+    def close(self) -> None:
+        self.out.close()
+        _named(self.at, self.temporary, f"{self.folder}/{self.name}")
 
 
 def file_name(job_id: str) -> str:
@@ -48,3 +65,29 @@ def write_documents(rows: DataFrame, uri: str) -> int:
             yield b.select([0])
 
     return rows.select("name", "json").mapInArrow(run, "name string").count()
+
+
+def write_in_parts(rows: DataFrame, uri: str, *order: str) -> int:
+    """rows (name, part, and the columns of order) -> a file for each name, its parts in order, one held at a time; how many there are."""
+    at, folder = store(uri)
+    at.create_dir(folder, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, folder = store(uri)
+        here, opened = None, None
+        for b in batches:
+            done = []
+            for name, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != here or opened is None:
+                    if opened is not None:
+                        opened.close()
+                        done.append(here)
+                    here, opened = name, Opened(at, folder, file_name(name))
+                opened.out.write(part.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["name"])
+        if opened is not None:
+            opened.close()
+            yield pa.RecordBatch.from_arrays([pa.array([here], pa.string())], names=["name"])
+
+    rows = rows.repartition("name").sortWithinPartitions("name", *order).select("name", "part")
+    return rows.mapInArrow(run, "name string").count()

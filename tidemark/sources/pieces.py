@@ -137,10 +137,10 @@ def large(spark: SparkSession, path: str | list[str]) -> bool:
     return spark.read.format("binaryFile").load(path).where(F.col("length") > LARGE).limit(1).count() > 0
 
 
-def parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def parts(spark: SparkSession, path: str | list[str], named: str = "file_path") -> DataFrame:
     """(file, place, start, nth, size, part) of large documents: their bytes without the closing braces at which they are cut."""
     text = spark.read.option("lineSep", "}").text(path).where(F.col("_metadata.file_size") > LARGE)
-    file = F.col("_metadata.file_path")
+    file = F.col(f"_metadata.{named}")
     return text.select(
         file.alias("file"), F.xxhash64(file).alias("place"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"),
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("part"),
